@@ -1,0 +1,21 @@
+"""Queries over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexforge.functions import text as tx
+
+QUERIES = {}
+SQL: dict[str, str] = {}
+
+
+def training_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cleaned = docs.select("doc_id", tx.clean("text").alias("text")).where("text is not null")
+    first = F.row_number().over(Window.partitionBy(F.md5("text"), "text").orderBy("doc_id"))
+    return cleaned.withColumn("rn", first).where("rn = 1").drop("rn")
+
+
+QUERIES["training_prep"] = training_prep
