@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import decontaminate, jaccard_join, packing, quality_cnn, secret_scan
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
+    "op3_quality_cnn": quality_cnn.query,
+    "op7_packing": packing.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op10_secret_scan": secret_scan.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_packing": packing.SQL,
+}
