@@ -36,7 +36,7 @@ from .common import staged, table
 #: Six selected words each; between them any single substitution, and one at
 #: every third, fourth, fifth or sixth word, leaves a seed intact.
 MASKS = ("111111", "11011011", "1110111", "1111011", "11100111", "101101011")
-MIN_WORDS = 12
+MIN_WORDS = 10
 IDENTITY = 0.75
 LEAST_WORDS = 4
 MISMATCH = 1.5
