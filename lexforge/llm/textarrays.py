@@ -58,10 +58,15 @@ def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[1:-1] = _IS_WORD[buf]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return start, end, hash_spans(buf, start, end)
+
+
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of a buffer; equal bytes have equal hashes wherever they are."""
     power, inverse = _power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_TABLE[buf] * power[: len(buf)], out=total[1:])
-    return start, end, mix((total[end] - total[start]) * inverse[start])
+    return mix((total[end] - total[start]) * inverse[start])
 
 
 def blocks(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
