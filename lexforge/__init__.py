@@ -1,0 +1 @@
+"""Preparation of text datasets on Spark."""

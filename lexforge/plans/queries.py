@@ -1,21 +1,579 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""Queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
+from lexforge.model import Dataset
+from lexforge.operators import dedup, leakage, quality, transform, validate
+from lexforge.plans import pipeline as pl
+from lexforge.sources import jsonl, manifest, registry
+from lexforge.sources.staging import shared_dir
+from lexforge.streaming import jsonl_stream
 
-QUERIES = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Of the synthetic embeddings, whose largest cosine is near 0.5.
+SIMILAR = 0.35
+AS_OF = datetime(2000, 1, 1)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_seq"), "text")
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{tx.SPACE}+|{tx.SPACE}+$', '', 'g')"
+
+
+def _collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{tx.SPACE}+', ' ', 'g'))"
+
+
+def _boilerplate(x: str) -> str:
+    out = f"lower({x})"
+    for phrase in tx.BOILERPLATE:
+        out = f"regexp_replace({out}, '{phrase}', '', 'gi')"
+    return out
+
+
+_CLEANED = f"""
+s AS (SELECT doc_id, text, {_strip('text')} AS bare FROM documents),
+b AS (SELECT *, {_boilerplate('bare')} AS body FROM s),
+c AS (SELECT *, {_collapse('body')} AS cleaned FROM b),
+clean AS (
+  SELECT doc_id, cleaned AS text FROM c
+  WHERE length(bare) >= 50 AND len(regexp_extract_all(bare, '{tx.URL}')) <= 5
+    AND length({_strip('body')}) >= 50 AND length(cleaned) >= 50
+)"""
+_FIRST = "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {}) WHERE rn = 1"
+_WORDS = f"string_split({_collapse('lower(text)')}, ' ')"
+
+
+def _grams(source: str, key: str, n: int = 5) -> str:
+    return f"""w AS (SELECT {key} AS k, {_WORDS} AS w FROM {source} WHERE {_collapse('text')} <> ''),
+p AS (SELECT k, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n}),
+g AS (SELECT DISTINCT k, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM p)"""
+
+
+# --- text ---------------------------------------------------------------------
+
+
+@query("text_clean", f"WITH {_CLEANED} SELECT doc_id, text FROM clean")
+def text_clean(spark, d):
+    return _read(spark, d, "documents").select("doc_id", tx.clean("text").alias("text")).where("text is not null")
+
+
+@query("training_prep", f"WITH {_CLEANED} " + _FIRST.format("clean"))
+def training_prep(spark, d):
+    cleaned = _read(spark, d, "documents").select("doc_id", tx.clean("text").alias("text")).where("text is not null")
+    return dedup.exact_filter(cleaned, "text", "doc_id")
+
+
+@query(
+    "clean_dedup_ci",
+    f"SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY {_strip('lower(text)')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
+)
+def clean_dedup_ci(spark, d):
+    return dedup.casefold_filter(_read(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+@query("url_count", f"SELECT page_id, CAST(len(regexp_extract_all(url || ' ' || html, '{tx.URL}')) AS BIGINT) AS urls FROM pages")
+def url_count(spark, d):
+    return _read(spark, d, "pages").select("page_id", tx.url_count(F.concat_ws(" ", "url", "html")).cast("bigint").alias("urls"))
+
+
+@query(
+    "clean_records",
+    f"SELECT conv_id, turn, nullif(role, '') AS role, nullif({_collapse('text')}, '') AS text FROM conversations",
+)
+def clean_records(spark, d):
+    return transform.clean_records(_read(spark, d, "conversations"))
+
+
+@query("transform", f"SELECT conv_id, turn, role, lower({_strip('text')}) AS text FROM conversations")
+def normalized(spark, d):
+    return transform.normalize(_read(spark, d, "conversations"))
+
+
+@query(
+    "ngrams",
+    f"WITH {_grams('benchmark', 'item_id')} SELECT k AS item_id, g AS ngram FROM g",
+)
+def ngrams(spark, d):
+    return _read(spark, d, "benchmark").select("item_id", F.explode(tx.ngrams("text", 5)).alias("ngram"))
+
+
+# --- deduplication ------------------------------------------------------------
+
+
+@query(
+    "exact_dup_groups",
+    "SELECT md5(text) AS md5, count(*) AS members, array_to_string(list(doc_id ORDER BY doc_id), ',') AS seqs FROM documents GROUP BY text HAVING count(*) > 1",
+)
+def exact_dup_groups(spark, d):
+    return dedup.exact_groups(_docs(spark, d)).withColumn("seqs", F.array_join("seqs", ","))
+
+
+@query(
+    "exact_dup_report",
+    """WITH n AS (SELECT count(*) AS n FROM documents GROUP BY text)
+SELECT count(*) FILTER (n > 1) > 0 AS duplicates_detected, count(*) FILTER (n > 1) AS duplicate_groups,
+       CAST(sum(n - 1) AS BIGINT) AS total_duplicate_instances, round(sum(n - 1) / sum(n), 9) AS duplicate_rate FROM n""",
+)
+def exact_dup_report(spark, d):
+    return dedup.exact_report(_docs(spark, d)).withColumn("duplicate_rate", F.round("duplicate_rate", 9))
+
+
+@query("exact_dedup", _FIRST.format("documents"))
+def exact_dedup(spark, d):
+    return dedup.exact_filter(_docs(spark, d)).withColumnRenamed("_seq", "doc_id")
+
+
+@query(
+    "record_distinct",
+    """SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type""",
+)
+def record_distinct(spark, d):
+    return dedup.record_distinct(_read(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id")
+
+
+_COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query(
+    "semantic_pairs",
+    f"SELECT a.vec_id AS i, b.vec_id AS j, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= {SIMILAR}",
+)
+def semantic_pairs(spark, d):
+    return dedup.similar_pairs(_read(spark, d, "embeddings"), SIMILAR, seq="vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "semantic_lsh_buckets",
+    "SELECT vec_id, CAST(list_reduce(list_transform(embedding[1:20], lambda x: CASE WHEN x > 0 THEN 1::BIGINT ELSE 0::BIGINT END), lambda s, b: s * 2 + b) AS BIGINT) AS bucket FROM embeddings",
+)
+def semantic_lsh_buckets(spark, d):
+    return _read(spark, d, "embeddings").select("vec_id", dedup.lsh_bucket("embedding").alias("bucket"))
+
+
+def _bits(n: int) -> str:
+    return f"CAST(list_reduce(list_transform(embedding[1:{n}], lambda x: CASE WHEN x > 0 THEN 1::BIGINT ELSE 0::BIGINT END), lambda s, b: s * 2 + b) AS BIGINT)"
+
+
+@query(
+    "semantic_lsh_pairs",
+    f"""WITH e AS (SELECT *, {_bits(4)} AS bucket FROM embeddings)
+SELECT a.vec_id AS i, b.vec_id AS j, round({_COS}, 6) AS similarity FROM e a JOIN e b ON a.bucket = b.bucket AND a.vec_id < b.vec_id WHERE {_COS} >= {SIMILAR}""",
+)
+def semantic_lsh_pairs(spark, d):
+    return dedup.bucket_pairs(_read(spark, d, "embeddings"), SIMILAR, 4, seq="vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "semantic_dedup",
+    f"""WITH RECURSIVE pairs AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= {SIMILAR}
+), low AS (SELECT j, list(i) AS lo FROM pairs GROUP BY j),
+adj AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, vec_id AS j, coalesce(lo, CAST([] AS BIGINT[])) AS lo
+  FROM embeddings LEFT JOIN low ON low.j = vec_id
+),
+g(n, kept) AS (
+  SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT g.n + 1, CASE WHEN len(list_intersect(g.kept, adj.lo)) = 0 THEN list_append(g.kept, adj.j) ELSE g.kept END FROM g JOIN adj ON adj.n = g.n + 1
+)
+SELECT unnest(kept) AS vec_id FROM g WHERE n = (SELECT max(n) FROM g)""",
+)
+def semantic_dedup(spark, d):
+    return dedup.semantic_filter(_read(spark, d, "embeddings"), SIMILAR, use_lsh=False, seq="vec_id").select("vec_id")
+
+
+@query("semantic_representatives")
+def semantic_representatives(spark, d):
+    return dedup.semantic_removals(_read(spark, d, "embeddings"), SIMILAR, True, 4, seq="vec_id")
+
+
+# --- leakage ------------------------------------------------------------------
+
+_CONTAMINATION = f"""WITH {_grams('documents', 'doc_id')},
+w2 AS (SELECT item_id AS k, {_WORDS} AS w FROM benchmark WHERE {_collapse('text')} <> ''),
+p2 AS (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM w2 WHERE len(w) >= 5),
+e AS (SELECT DISTINCT k, array_to_string(w[i : i + 4], ' ') AS g FROM p2),
+t AS (SELECT DISTINCT g FROM g)
+SELECT e.k AS index, count(*) AS n_grams, count(t.g) AS n_shared, round(count(t.g) / count(*), 9) AS overlap, count(t.g) / count(*) > 0.8 AS contaminated
+FROM e LEFT JOIN t ON e.g = t.g GROUP BY e.k"""
+
+
+@query("contamination", _CONTAMINATION)
+def contamination(spark, d):
+    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("_seq"), "text")
+    return leakage.contamination(_docs(spark, d), items).withColumn("overlap", F.round("overlap", 9))
+
+
+@query(
+    "near_duplicates",
+    f"""WITH {_grams('documents', 'doc_id')},
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+x AS (SELECT a.k AS i, b.k AS j, count(*) AS both FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k)
+SELECT i, j, round(both / (p.n + q.n - both), 9) AS similarity FROM x JOIN n p ON p.k = i JOIN n q ON q.k = j WHERE both / (p.n + q.n - both) >= 0.9""",
+)
+def near_duplicates(spark, d):
+    return leakage.near_duplicates(_docs(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    "memorization",
+    f"WITH {_grams('documents', 'doc_id')} SELECT g AS ngram, count(*) AS frequency FROM g GROUP BY g HAVING count(*) >= 10 ORDER BY frequency DESC, ngram LIMIT 20",
+)
+def memorization(spark, d):
+    return leakage.memorization(_docs(spark, d))
+
+
+@query(
+    "frequent_ngrams",
+    f"WITH {_grams('documents', 'doc_id')} SELECT g AS ngram, count(*) AS frequency FROM g GROUP BY g HAVING count(*) >= 10",
+)
+def frequent_ngrams(spark, d):
+    return leakage.frequent_ngrams(_docs(spark, d))
+
+
+# --- quality ------------------------------------------------------------------
+
+
+def _metrics(spark: SparkSession, df: DataFrame, schema: dict | None = None) -> DataFrame:
+    found = quality.metrics_frame(df, schema, as_of=AS_OF)
+    return found.select("dimension", "metric_name", F.round("value", 6).alias("value"), "passed")
+
+
+def _metric(dimension: str, name: str, value: str, threshold: float) -> str:
+    return f"SELECT '{dimension}' AS dimension, '{name}' AS metric_name, round(CAST({value} AS DOUBLE), 6) AS value, {value} >= {threshold} AS passed"
+
+
+def _rate(column: str, table: str = "t") -> str:
+    return f"""SELECT count(*) FILTER ({column} < lo - 1.5 * (hi - lo) OR {column} > hi + 1.5 * (hi - lo)) / count(*) AS r FROM
+(SELECT {column} FROM {table} WHERE {column} IS NOT NULL), (SELECT quantile_cont({column}, 0.25) AS lo, quantile_cont({column}, 0.75) AS hi FROM {table})"""
+
+
+def _quality_sql(source: str, columns: list[str], numeric: list[str], extra: list[str], typed_nulls: list[str] = ()) -> str:
+    complete = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
+    mixed = " + ".join([f"CASE WHEN count(*) FILTER ({c} IS NULL) BETWEEN 1 AND count(*) - 1 THEN 1 ELSE 0 END" for c in typed_nulls] or ["0"])
+    parts = [f"{_metric('completeness', 'overall_completeness', f'(1 - ({complete}) / (count(*) * {len(columns)}))', 0.95)} FROM t"]
+    parts += [f"{_metric('completeness', f'column_{c}_completeness', f'(1 - count(*) FILTER ({c} IS NULL) / count(*))', 0.95)} FROM t" for c in columns]
+    parts.append(f"{_metric('consistency', 'type_consistency', f'(1 - 0.1 * ({mixed}))', 0.9)} FROM t")
+    parts.append(f"{_metric('uniqueness', 'row_uniqueness', '((SELECT count(*) FROM (SELECT DISTINCT * FROM t)) / count(*))', 0.98)} FROM t")
+    rates = " + ".join(f"({_rate(c)})" for c in numeric)
+    parts.append(_metric("accuracy", "numeric_outlier_rate", f"(1 - ({rates}) / {len(numeric)})", 0.9))
+    return f"WITH t AS ({source}) " + " UNION ALL ".join(parts + extra)
+
+
+_LABELLED = "SELECT d.doc_id, d.text, d.lang, d.n_chars, l.quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+@query(
+    "quality_documents",
+    _quality_sql(
+        _LABELLED, ["doc_id", "text", "lang", "n_chars", "label"], ["doc_id", "n_chars", "label"],
+        [
+            "SELECT 'validity', 'required_fields_check', 1.0, true",
+            f"{_metric('validity', 'schema_validation', '(CASE WHEN min(n_chars) < 50 THEN 0.9 ELSE 1.0 END)', 1.0)} FROM t",
+            _metric("timeliness", "freshness_proxy", "1.0", 0.7), _metric("integrity", "referential_proxy", "1.0", 1.0),
+            f"{_metric('consistency', 'label_balance', '(min(n) / max(n))', 0.1)} FROM (SELECT count(*) AS n FROM t WHERE label IS NOT NULL GROUP BY label)",
+            "SELECT 'summary', 'text_length_mean', 1.0, true",
+        ],
+        ["text", "lang"],
+    ),
+)
+def quality_documents(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    labels = _read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    schema = {"required_fields": ["doc_id", "text"], "fields": {"n_chars": {"constraints": {"min": 50}}}}
+    return _metrics(spark, docs.join(labels, "doc_id", "left"), schema)
+
+
+@query(
+    "quality_orders",
+    _quality_sql(
+        "SELECT o_orderkey AS id, o_custkey, o_totalprice, o_orderdate, o_orderpriority FROM orders", ["id", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"],
+        ["id", "o_custkey", "o_totalprice"],
+        [
+            f"""{_metric('timeliness', 'data_freshness', "greatest(0, 1 - floor((epoch(TIMESTAMP '2000-01-01') - epoch(max(o_orderdate))) / 86400) / 30)", 0.7)} FROM t""",
+            f"{_metric('integrity', 'id_completeness', '(1 - count(*) FILTER (id IS NULL) / count(*))', 1.0)} FROM t",
+        ],
+    ),
+)
+def quality_orders(spark, d):
+    return _metrics(spark, _read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
+
+
+@query("quality_report")
+def quality_report(spark, d):
+    """The rolled-up report: scores by dimension, overall, recommendations."""
+    report = quality.check(_read(spark, d, "events"), "events", as_of=AS_OF)
+    rows = [("dimension", k, round(v, 6), None) for k, v in report.dimension_scores.items()] + [("overall", "overall", round(report.overall_score, 6), None)]
+    rows += [("recommendation", str(i), None, r) for i, r in enumerate(report.recommendations)]
+    rows += [("valid", "valid", float(report.to_validation().is_valid), None)]
+    return spark.createDataFrame(rows, "kind string, name string, value double, message string")
+
+
+# --- validation and routing ---------------------------------------------------
+
+
+@query(
+    "required_fields",
+    f"""SELECT d.doc_id, CASE WHEN text IS NULL THEN '''text'' must be a string' WHEN {_strip('text')} = '' THEN '''text'' is empty' END AS error
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def required_fields(spark, d):
+    df = _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    return df.select("doc_id", validate.record_error(df).alias("error"))
+
+
+@query(
+    "diagnostics",
+    f"""WITH t AS (SELECT d.doc_id, text, quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT doc_id, 'error' AS severity, '''text'' is empty' AS message FROM t WHERE {_strip('text')} = ''
+UNION ALL SELECT doc_id, 'warning', '''text'' has fewer than 3 characters' FROM t WHERE length({_strip('text')}) BETWEEN 1 AND 2
+UNION ALL SELECT doc_id, 'warning', '''label'' is null' FROM t WHERE label IS NULL""",
+)
+def diagnostics(spark, d):
+    df = _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    errors, warnings = validate.record_messages(df)
+    both = df.select("doc_id", F.array(F.struct(F.lit("error").alias("severity"), errors.alias("m")), F.struct(F.lit("warning").alias("severity"), warnings.alias("m"))).alias("x"))
+    return both.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.severity", F.explode("x.m").alias("message"))
+
+
+_TYPES = {"click": 0, "view": 1, "purchase": 2, "signup": 3}
+
+
+@query(
+    "label_route",
+    f"""SELECT event_id, CAST(CASE lower({_strip('event_type')}) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _TYPES.items())} END AS BIGINT) AS label_id,
+CASE WHEN lower({_strip('event_type')}) IN ({', '.join(f"'{k}'" for k in _TYPES)}) THEN NULL ELSE 'Unknown label ''' || lower({_strip('event_type')}) || '''' END AS error FROM events""",
+)
+def label_route(spark, d):
+    df = _read(spark, d, "events").select("event_id", F.col("event_type").alias("label"))
+    return df.select("event_id", validate.label_id(df, _TYPES).alias("label_id"), validate.routing_error(df, _TYPES).alias("error"))
+
+
+@query(
+    "label_validate",
+    "SELECT l_orderkey, l_linenumber, l_quantity AS label_id, CASE WHEN trunc(l_quantity) BETWEEN 0 AND 30 THEN NULL ELSE 'out' END AS error FROM lineitem",
+)
+def label_validate(spark, d):
+    df = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("label_id"))
+    return df.select("*", F.when(validate.label_range_error(df).isNotNull(), "out").alias("error"))
+
+
+# --- files, manifests, versions -----------------------------------------------
+
+
+@query("chunk_dedup", "SELECT doc_id, chunk_id FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY chunk_id, text ORDER BY doc_id) AS rn FROM (SELECT *, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS BIGINT) AS chunk_id FROM documents)) WHERE rn = 1")
+def chunk_dedup(spark, d):
+    numbered = jsonl.with_seq(_read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return dedup.keep_first(jsonl.chunked(numbered), [F.col("chunk_id"), F.md5("text")]).select("doc_id", "chunk_id")
+
+
+def _written(spark: SparkSession, d: str, table: str, order: str) -> str:
+    path = shared_dir(spark)
+    df = _read(spark, d, table)
+    df = df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c, t in df.dtypes if t.startswith("timestamp")})
+    jsonl.write_jsonl(df.orderBy(order), path + "/data.jsonl")
+    for f in manifest.files_of(path):  # a reader of JSONL looks for that ending
+        if f.base_name.endswith(".json"):
+            system, _ = manifest._at(path)
+            system.move(f.path, f.path[: -len(".json")] + ".jsonl")
+    return path
+
+
+@query("jsonl_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_roundtrip(spark, d):
+    path = _written(spark, d, "conversations", "conv_id")
+    return jsonl.read_jsonl(spark, path).select("conv_id", "turn", "role", "text")
+
+
+@query("schema_infer", "SELECT * FROM (VALUES ('doc_id', 'int'), ('lang', 'str'), ('n_chars', 'int'), ('source', 'str'), ('text', 'str')) t(field, types)")
+def schema_infer(spark, d):
+    found = manifest.infer_schema(spark, _written(spark, d, "documents", "doc_id"))
+    return spark.createDataFrame([(k, ",".join(v)) for k, v in found["fields"].items()], "field string, types string")
+
+
+@query(
+    "column_stats",
+    """WITH t AS (SELECT * FROM documents ORDER BY doc_id LIMIT 1000)
+SELECT 'doc_id' AS name, CAST(min(doc_id) AS DOUBLE) AS min, CAST(max(doc_id) AS DOUBLE) AS max, round(avg(doc_id), 6) AS mean FROM t
+UNION ALL SELECT 'n_chars', min(n_chars), max(n_chars), round(avg(n_chars), 6) FROM t
+UNION ALL SELECT 'text_length', min(length(text)), max(length(text)), round(avg(length(text)), 6) FROM t""",
+)
+def column_stats(spark, d):
+    found = manifest.column_stats(spark, _written(spark, d, "documents", "doc_id"))
+    return spark.createDataFrame([(k, v["min"], v["max"], round(v["mean"], 6)) for k, v in found.items()], "name string, min double, max double, mean double")
+
+
+@query("manifest", "SELECT 'benchmark' AS id, 'v1' AS version, count(*) AS row_count, CAST(64 AS BIGINT) AS hash_length, 'jsonl' AS format FROM benchmark")
+def made_manifest(spark, d):
+    m = manifest.build_manifest(spark, _written(spark, d, "benchmark", "item_id"), "benchmark", "v1")
+    return spark.createDataFrame([(m["id"], m["version"], m["row_count"], len(m["content_hash"]), m["schema"]["format"])], "id string, version string, row_count long, hash_length long, format string")
+
+
+@query("content_fingerprint")
+def content_fingerprint(spark, d):
+    return manifest.content_fingerprint(_read(spark, d, "documents"))
+
+
+_VERSIONS = """SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_orderkey AS id, 'set' || o_custkey AS dataset_name,
+o_orderdate AS created_at, CAST(floor(o_totalprice) AS BIGINT) AS total_samples, CAST(o_orderkey % 7 AS BIGINT) AS file_count, CAST(floor(o_totalprice * 10) AS BIGINT) AS total_size_bytes FROM orders"""
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """A registry made of orders: one dataset for each customer."""
+    return _read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("set"), F.col("o_custkey")).alias("dataset_name"), F.col("o_orderdate").alias("created_at"),
+        F.floor("o_totalprice").alias("total_samples"), (F.col("o_orderkey") % 7).alias("file_count"), F.floor(F.col("o_totalprice") * 10).alias("total_size_bytes"),
+    )
+
+
+@query(
+    "version_latest",
+    f"SELECT id, dataset_name FROM (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY created_at DESC, id DESC) AS rn FROM ({_VERSIONS})) WHERE rn = 1",
+)
+def version_latest(spark, d):
+    return registry.latest(_versions(spark, d)).select("id", "dataset_name")
+
+
+@query(
+    "version_compare",
+    f"""SELECT id, total_samples - lag(total_samples) OVER w AS sample_difference, file_count - lag(file_count) OVER w AS file_difference,
+total_size_bytes - lag(total_size_bytes) OVER w AS size_difference_bytes FROM ({_VERSIONS}) WINDOW w AS (PARTITION BY dataset_name ORDER BY created_at, id)""",
+)
+def version_compare(spark, d):
+    return registry.compared(_versions(spark, d)).select("id", "sample_difference", "file_difference", "size_difference_bytes")
+
+
+@query(
+    "change_type",
+    f"""WITH v AS (SELECT id, total_samples AS s, lag(total_samples) OVER (PARTITION BY dataset_name ORDER BY created_at, id) AS p FROM ({_VERSIONS}))
+SELECT id, CASE WHEN p IS NULL THEN 'MAJOR' WHEN p > 0 AND abs(s - p) / p > 0.5 THEN 'MAJOR' WHEN p > 0 AND abs(s - p) / p > 0.1 THEN 'MINOR' ELSE 'PATCH' END AS change_type FROM v""",
+)
+def change_type(spark, d):
+    v = registry.compared(_versions(spark, d)).withColumn("parent", F.col("total_samples") - F.col("sample_difference"))
+    return v.select("id", registry.change_type(F.col("total_samples"), F.col("parent"), F.col("parent").isNotNull()).alias("change_type"))
+
+
+@query(
+    "next_version",
+    "SELECT p_partkey, '1.' || (p_size % 4) || '.' || (p_size + 1) AS next_version FROM part",
+)
+def next_version(spark, d):
+    v = F.concat(F.lit("v1."), F.col("p_size") % 4, F.lit("."), F.col("p_size"))
+    return _read(spark, d, "part").select("p_partkey", registry.next_version_column(v).alias("next_version"))
+
+
+@query("version_registry", "SELECT '1.0.1' AS version, 'MAJOR' AS change_type, (SELECT count(*) FROM nation) - (SELECT count(*) FROM region) AS sample_difference, true AS intact")
+def version_registry(spark, d):
+    """Two versions of one dataset written, compared and verified."""
+    reg = registry.VersionRegistry(spark, shared_dir(spark))
+    kind = registry.DatasetType.CONTRACT_INTELLIGENCE
+    reg.create("geo", kind, _written(spark, d, "region", "r_regionkey"))
+    second = reg.create("geo", kind, _written(spark, d, "nation", "n_nationkey"), parent_version="1.0.0")
+    diff = reg.compare("geo", "1.0.0", second["version"])
+    return spark.createDataFrame([(second["version"], diff["change_type"], diff["sample_difference"], reg.validate("geo", "1.0.1"))], "version string, change_type string, sample_difference long, intact boolean")
+
+
+@query("version_files", "SELECT (SELECT count(*) FROM benchmark) AS sample_count, CAST(1 AS BIGINT) AS lineage, true AS intact")
+def version_files(spark, d):
+    store = manifest.FileVersions(spark, shared_dir(spark))
+    path = _written(spark, d, "benchmark", "item_id")
+    record = store.create(path, "bench")
+    return spark.createDataFrame([(record["sample_count"], len(store.lineage("bench")), store.verify(path, record["checksum"]))], "sample_count long, lineage long, intact boolean")
+
+
+# --- pipelines ----------------------------------------------------------------
+
+
+def _run(pipeline: pl.Pipeline, df: DataFrame) -> DataFrame:
+    result = pipeline.run(Dataset(df))
+    if not result.success:
+        raise RuntimeError(result.error)
+    return result.data.df
+
+
+@query("training_preset", f"WITH {_CLEANED} " + _FIRST.format("clean"))
+def training_preset(spark, d):
+    return _run(pl.training(), _docs(spark, d)).withColumnRenamed("_seq", "doc_id")
+
+
+@query("feedback_preset", "WITH " + _CLEANED.replace(">= 50", ">= 1") + " " + _FIRST.format("clean"))
+def feedback_preset(spark, d):
+    return _run(pl.feedback(), _docs(spark, d)).withColumnRenamed("_seq", "doc_id")
+
+
+@query(
+    "production_preset",
+    f"WITH {_CLEANED}, few AS ({_FIRST.format('clean')}) SELECT doc_id, text FROM few",
+)
+def production_preset(spark, d):
+    """All its stages but the embeddings', with evaluation texts that don't leak."""
+    held = _read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("_seq"), F.concat(F.lit("held out evaluation text about the nation "), "n_name").alias("text"))
+    return _run(pl.production(eval_texts=held, semantic_dedup=False), _docs(spark, d)).withColumnRenamed("_seq", "doc_id")
+
+
+@query(
+    "leakage_gate",
+    _CONTAMINATION.replace("SELECT e.k AS index", "SELECT count(*) FILTER (contaminated) AS contamination_count, true AS failed FROM (SELECT e.k AS index") + ")",
+)
+def leakage_gate(spark, d):
+    """The gate's verdict on documents against the benchmark."""
+    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("_seq"), "text")
+    result = pl.LeakageCheck({"eval_texts": items}).process(Dataset(_docs(spark, d)))
+    n = leakage.contamination(_docs(spark, d), items).where("contaminated").count()
+    return spark.createDataFrame([(n, not result.success)], "contamination_count long, failed boolean")
+
 
-def training_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cleaned = docs.select("doc_id", tx.clean("text").alias("text")).where("text is not null")
-    first = F.row_number().over(Window.partitionBy(F.md5("text"), "text").orderBy("doc_id"))
-    return cleaned.withColumn("rn", first).where("rn = 1").drop("rn")
+@query(
+    "stage_graph",
+    f"""SELECT event_id, lower({_collapse('event_type')}) AS text, CAST(CASE lower({_strip('event_type')}) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _TYPES.items())} ELSE 9 END AS BIGINT) AS label_id FROM events""",
+)
+def stage_graph(spark, d):
+    """The six classic stages by their dependencies, added in no particular order."""
+    kind = F.when(F.lower("event_type").isin(*_TYPES), F.col("event_type")).otherwise("other")
+    df = _read(spark, d, "events").select(F.col("event_id").alias("_seq"), "event_id", F.col("event_type").alias("text"), kind.alias("label"))
+    graph = pl.Graph()
+    mapping = {"label_mapping": _TYPES | {"other": 9}}
+    for stage in (pl.Normalizing(), pl.Routing(mapping), pl.Requirement(), pl.LabelRange(), pl.Cleaning(), pl.Loading()):
+        graph.add_stage(stage)
+    graph.build()
+    result = graph.execute(Dataset(df))
+    if not result.success:
+        raise RuntimeError(result.error)
+    return result.data.df.select("event_id", "text", "label_id")
 
 
-QUERIES["training_prep"] = training_prep
+@query("stream_dedup", f"WITH {_CLEANED} SELECT DISTINCT text FROM clean")
+def stream_dedup(spark, d):
+    """Documents arriving as JSONL files, cleaned and deduplicated as a stream."""
+    path, out = _written(spark, d, "documents", "doc_id"), shared_dir(spark)
+    stream = jsonl_stream.distinct_texts(jsonl_stream.cleaned(jsonl_stream.read_stream(spark, path)))
+    jsonl_stream.run_to_end(stream, f"{out}/checkpoint", lambda df, _: df.select("text").write.mode("append").parquet(f"{out}/rows"))
+    return spark.read.schema("text string").parquet(f"{out}/rows")
