@@ -64,8 +64,7 @@ def clean(c: Column | str, min_length: int = 50, max_urls: int = 5, remove_boile
 
 def words(c: Column | str) -> Column:
     """Lower-case words; a null or blank text has none."""
-    bare = collapse(F.lower(c))
-    return F.when(F.length(bare) > 0, F.split(bare, " ")).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(collapse(F.lower(c)), " "), ""), F.array().cast("array<string>"))
 
 
 def ngrams(c: Column | str, n: int) -> Column:
@@ -77,5 +76,9 @@ def ngrams(c: Column | str, n: int) -> Column:
 
 
 def ngrams_of(w: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def of(x: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(x) - (n - 1)), lambda i: F.array_join(F.slice(x, i, F.lit(n)), " "))
+        return F.when(F.size(x) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    # bound as a lambda's variable, the words are split once, not once an n-gram
+    return F.get(F.transform(F.array(w), of), F.lit(0))

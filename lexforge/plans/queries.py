@@ -236,8 +236,8 @@ def contamination(spark, d):
     "near_duplicates",
     f"""WITH {_grams('documents', 'doc_id')},
 n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
-x AS (SELECT a.k AS i, b.k AS j, count(*) AS both FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k)
-SELECT i, j, round(both / (p.n + q.n - both), 9) AS similarity FROM x JOIN n p ON p.k = i JOIN n q ON q.k = j WHERE both / (p.n + q.n - both) >= 0.9""",
+x AS (SELECT a.k AS i, b.k AS j, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k)
+SELECT i, j, round(shared / (p.n + q.n - shared), 9) AS similarity FROM x JOIN n p ON p.k = i JOIN n q ON q.k = j WHERE shared / (p.n + q.n - shared) >= 0.9""",
 )
 def near_duplicates(spark, d):
     return leakage.near_duplicates(_docs(spark, d)).withColumn("similarity", F.round("similarity", 9))
@@ -278,7 +278,7 @@ def _rate(column: str, table: str = "t") -> str:
 
 def _quality_sql(source: str, columns: list[str], numeric: list[str], extra: list[str], typed_nulls: list[str] = ()) -> str:
     complete = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
-    mixed = " + ".join([f"CASE WHEN count(*) FILTER ({c} IS NULL) BETWEEN 1 AND count(*) - 1 THEN 1 ELSE 0 END" for c in typed_nulls] or ["0"])
+    mixed = " + ".join([f"CASE WHEN count(*) FILTER ({c} IS NULL) BETWEEN 1 AND count(*) - 1 THEN 1 ELSE 0 END" for c in typed_nulls] or ["0 * count(*)"])
     parts = [f"{_metric('completeness', 'overall_completeness', f'(1 - ({complete}) / (count(*) * {len(columns)}))', 0.95)} FROM t"]
     parts += [f"{_metric('completeness', f'column_{c}_completeness', f'(1 - count(*) FILTER ({c} IS NULL) / count(*))', 0.95)} FROM t" for c in columns]
     parts.append(f"{_metric('consistency', 'type_consistency', f'(1 - 0.1 * ({mixed}))', 0.9)} FROM t")
@@ -400,10 +400,6 @@ def _written(spark: SparkSession, d: str, table: str, order: str) -> str:
     df = _read(spark, d, table)
     df = df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c, t in df.dtypes if t.startswith("timestamp")})
     jsonl.write_jsonl(df.orderBy(order), path + "/data.jsonl")
-    for f in manifest.files_of(path):  # a reader of JSONL looks for that ending
-        if f.base_name.endswith(".json"):
-            system, _ = manifest._at(path)
-            system.move(f.path, f.path[: -len(".json")] + ".jsonl")
     return path
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,12 +39,12 @@ def with_seq(df: DataFrame, *order: str, seq: str = "_seq") -> DataFrame:
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """(_file, _line, value) of a file of any name, or of a folder's ``*.jsonl``."""
     where = str(path)
-    if "://" not in where and not Path(where).exists():
+    if ":/" not in where and not Path(where).exists():
         raise FileNotFoundError(where)
     reader = spark.read
-    if "://" in where or Path(where).is_dir():
+    if ":/" in where or Path(where).is_dir():
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-        if "://" not in where and not any(Path(where).rglob("*.jsonl")):
+        if ":/" not in where and not any(Path(where).rglob("*.jsonl")):
             return spark.createDataFrame([], "_file array<string>, _block long, _line long, value string")
     rows = reader.text(where).select(
         F.split("_metadata.file_path", "/").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
@@ -95,8 +96,14 @@ def chunked(df: DataFrame, chunk_size: int = 1000, seq: str = "_seq") -> DataFra
 
 
 def write_jsonl(df: DataFrame, path: str) -> str:
-    """One JSON object a line, nulls kept; replaces what is there."""
+    """A folder of ``*.jsonl`` files, one JSON object a line, nulls kept; replaces what is there."""
     df.drop("_seq", "_keys").write.mode("overwrite").option("ignoreNullFields", "false").json(str(path))
+    system, root = fs.FileSystem.from_uri(str(path)) if ":/" in str(path) else (fs.LocalFileSystem(), str(path))
+    for f in system.get_file_info(fs.FileSelector(root)):
+        if f.base_name.endswith(".json"):  # a reader of JSONL looks for the other ending
+            system.move(f.path, f.path + "l")
+        elif f.base_name.endswith(".json.crc"):
+            system.delete_file(f.path)
     return str(path)
 
 

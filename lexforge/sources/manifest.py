@@ -20,7 +20,7 @@ from lexforge.sources.jsonl import lines_of, with_seq
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(str(path)) if "://" in str(path) else (fs.LocalFileSystem(), str(path))
+    return fs.FileSystem.from_uri(str(path)) if ":/" in str(path) else (fs.LocalFileSystem(), str(path))
 
 
 def files_of(path: str) -> list[fs.FileInfo]:
@@ -66,7 +66,7 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
 def _variants(spark: SparkSession, path: str) -> DataFrame:
     """(_seq, v) of each valid JSON line of a JSONL file or folder."""
     if not (str(path).endswith(".jsonl") or any(f.path.endswith(".jsonl") for f in files_of(path))):
-        return spark.sql("SELECT 0L AS _seq, parse_json('0') AS v WHERE false")
+        return spark.sql("SELECT 0L AS _seq, '0' AS value, parse_json('0') AS v WHERE false")
     lines = with_seq(lines_of(spark, path), "_file", "_block", "_line")
     return lines.select("_seq", "value", F.try_parse_json("value").alias("v")).where("v is not null")
 
