@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -60,30 +60,35 @@ def fingerprint(values: np.ndarray) -> bytes:
     return a.to_bytes(8, "big") + b.to_bytes(8, "big")
 
 
-def star_candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v), u < v, from ``nodes(node, bands)``.
+def star_candidates(nodes: DataFrame, rows: int) -> DataFrame:
+    """Distinct pairs (u, v), u < v, from ``nodes(node, sig, bands)``.
 
-    Nodes with an equal band key make a bucket. Each is paired with the
-    bucket's smallest node, and with the smallest that also has its next band
-    key, so that true copies meet inside a bucket of texts that merely share a
-    passage. This is linear in the nodes however large a bucket grows: a group
-    is spanned, not multiplied out.
+    ``sig`` holds the minimum hashes (bytes, or an array), ``rows`` of them to a
+    band. Nodes with an equal band key make a bucket. Each is paired with the
+    bucket's smallest node, and with the smallest that also has the next one,
+    two and up to ``rows`` minima after the band: a bucket that grows with the
+    corpus, or that a shared passage fills, is told apart by these, and like
+    texts still meet in it. This is linear in the nodes however large a bucket
+    grows: a group is spanned, not multiplied out. One shuffle and one sort
+    serve all levels.
     """
     n = F.size("bands")
-    rows = nodes.select("node", "bands", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(
-        "node", F.get("bands", F.col("i")).alias("key"), F.get("bands", (F.col("i") + 1) % n).alias("following")
-    )
-    bucket = Window.partitionBy("key")
-    rows = rows.select(
-        "node",
-        F.min("node").over(bucket).alias("first"),
-        F.min("node").over(Window.partitionBy("key").orderBy("following").rangeBetween(Window.currentRow, Window.currentRow)).alias("near"),
-    )
-    return (
-        rows.select(F.explode(F.array("first", "near")).alias("u"), F.col("node").alias("v"))
-        .where("u <> v")
-        .distinct()
+    binary = dict(nodes.dtypes)["sig"] == "binary"
+
+    def minimum(k: int) -> Column:
+        """The k-th minimum after band i, beginning anew at the end."""
+        at = ((F.col("i") + 1) * rows + k) % (n * rows)
+        return F.substring("sig", at + 1, F.lit(1)) if binary else F.get("sig", at)
+
+    after = [f"after_{k}" for k in range(rows)]
+    out = nodes.select("node", "bands", "sig", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(
+        "node", F.get("bands", F.col("i")).alias("key"), *[minimum(k).alias(c) for k, c in enumerate(after)]
     )
+    least = []
+    for k in range(rows, -1, -1):  # the finest first: its order serves the others
+        least.append(f"least_{k}")
+        out = out.withColumn(least[-1], F.min("node").over(Window.partitionBy("key", *after[:k])))
+    return out.select(F.explode(F.array_distinct(F.array(*least))).alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
 
 
 def least_matches(compared: int, threshold: float, tolerance: float, chance: float = 1 / 256) -> int:

@@ -7,10 +7,13 @@ pairs of nodes; byte minhashes are compared sixteen at a time and a pair is
 dropped once the posterior probability of reaching the threshold is below the
 tolerance; the Jaccard similarity of the rest is computed exactly from the sets.
 
-A group of n copies has n^2 pairs, so pairs are given in factored form: each
-document of an equal set with the set's smallest doc_id (similarity 1), and the
-verified pairs between sets that span each group. Every pair given is exact, and
-two documents are in one group if a chain of pairs links them.
+Candidates span groups rather than multiply them out (``groups.star_candidates``);
+once groups are known, all pairs of sets within each are compared exactly, in
+blocks, so that no partner is missed for being one of many. Documents of an equal
+set have the same partners: each is given with the set's smallest doc_id
+(similarity 1), which stands for the set in the pairs with other sets. Every
+pair given is exact, and two documents are in one group if a chain of pairs
+links them.
 
 Defined cases: null or empty texts, and texts without words, are in no pair and
 stay. Rows with a null doc_id can't be named in pairs, but ``keep_one`` groups
@@ -36,6 +39,10 @@ N = 3
 THRESHOLD = 0.5
 TOLERANCE = 0.01
 BANDS, ROWS = 32, 3
+#: Sets of a group that are compared with as many others in one go.
+BLOCK = 512
+#: Distinct grams for which there is a matrix at once.
+_WIDTH = 4096
 
 
 def _sets(n: int, what: str):
@@ -80,6 +87,38 @@ def _prune(threshold: float, tolerance: float):
     return run
 
 
+def shared_grams(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common, by matrix products."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(at[-1]) + 1, _WIDTH):
+        i, j = np.searchsorted(at, (low, low + _WIDTH))
+        has = np.zeros((len(sets), _WIDTH), np.float32)
+        has[owner[i:j], at[i:j] - low] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def _compare(threshold: float):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = key[1].as_py(), key[2].as_py()
+        node, block = table.column("node").to_pylist(), np.asarray(table.column("block").to_pylist())
+        sets = [np.asarray(x.values) for x in table.column("grams")]
+        both = shared_grams(sets)
+        n = np.array([len(x) for x in sets])
+        jaccard = both / (n[:, None] + n[None, :] - both)
+        i, j = np.nonzero((jaccard >= threshold) & ((block == a)[:, None] & (block == b)[None, :]))
+        if a == b:
+            i, j = i[i < j], j[i < j]
+        kinds = pa.binary()
+        return pa.table({"u": pa.array([node[k] for k in i], kinds), "v": pa.array([node[k] for k in j], kinds), "jaccard": jaccard[i, j]})
+
+    return run
+
+
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("c0"), F.col("text").cast("string").alias("text"))
 
@@ -95,7 +134,7 @@ class Join:
         self.nodes = staged(
             self.sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("size").alias("size"))
         )
-        pairs = star_candidates(self.nodes)
+        pairs = star_candidates(self.nodes, ROWS)
         a = self.nodes.select(F.col("node").alias("u"), F.col("sig").alias("su"), F.col("size").alias("nu"))
         b = self.nodes.select(F.col("node").alias("v"), F.col("sig").alias("sv"), F.col("size").alias("nv"))
         likely = staged(
@@ -115,7 +154,8 @@ class Join:
             .where("node is not null").join(sized(needed.select("node")), "node", "left_semi")
             .groupBy("node").agg(F.first("grams").alias("grams"))
         )
-        grams = staged(grams)
+        self.grams = grams = staged(grams)
+        self.threshold = threshold
         x = likely.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(
             grams.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v"
         )
@@ -131,6 +171,23 @@ class Join:
         """(node, root, rep) of every node; a node without edges is its own root."""
         return self.nodes.select("node", "rep").join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+    def near(self) -> DataFrame:
+        """u, v, jaccard of all pairs of unequal sets within a group.
+
+        The one pair of a group of two is known; larger groups are compared in
+        full, cut into blocks of ``BLOCK`` sets: each pair of blocks is one task's
+        work, so neither memory nor a task grows with the group.
+        """
+        sizes = staged(self.roots.groupBy("root").agg(F.count("*").alias("n")))
+        of = self.roots.join(sizes, "root")
+        two = self.edges.join(of.where("n = 2").select(F.col("node").alias("u")), "u", "left_semi").select("u", "v", "jaccard")
+        more = of.where("n > 2").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        placed = more.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(self.grams, "node")
+        copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "grams"
+        )
+        return two.union(copies.groupBy("root", "a", "b").applyInArrow(_compare(self.threshold), "u binary, v binary, jaccard double"))
+
     def pairs(self) -> DataFrame:
         """doc_a < doc_b, jaccard, and the smallest doc_id of the group."""
         rooted = self.rooted()
@@ -143,7 +200,7 @@ class Join:
         a = of.select(F.col("node").alias("u"), F.col("rep").alias("ra"), "group_id")
         b = of.select(F.col("node").alias("v"), F.col("rep").alias("rb"))
         near = (
-            self.edges.join(a, "u").join(b, "v").where("ra is not null and rb is not null and ra <> rb")
+            self.near().join(a, "u").join(b, "v").where("ra is not null and rb is not null and ra <> rb")
             .select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"), "group_id").distinct()
         )
         return equal.union(near)

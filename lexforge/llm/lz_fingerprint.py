@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     sig = nodes.where("rep is not null").select("node", "rep", "sig")
     any_sig = nodes.select("node", "sig")
-    pairs = star_candidates(nodes)
+    pairs = star_candidates(nodes, ROWS)
     both = (
         pairs.join(any_sig.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(any_sig.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
         .select("u", "v", (F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda e: e)) / (BANDS * ROWS)).alias("similarity"))
