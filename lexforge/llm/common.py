@@ -41,6 +41,14 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized(ids: DataFrame, limit: int | None = None) -> DataFrame:
     """``ids`` (a staged table), with a broadcast hint if it is small."""
     return F.broadcast(ids) if ids.count() <= (BROADCAST_ROWS if limit is None else limit) else ids

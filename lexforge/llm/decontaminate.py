@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import staged, table
+from .common import staged, table, unused
 
 #: Six selected words each; between them any single substitution, and one at
 #: every third, fourth, fifth or sixth word, leaves a seed intact.
@@ -280,8 +280,9 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS
     if index is not None:
         shared = docs.sparkSession.sparkContext.broadcast(index)
         return docs.mapInArrow(_scan(shared, min_words, identity, True), docs.schema)
-    found = staged(leaks(docs, benchmark, min_words, identity, held_seeds).select(F.col("doc_id").alias("__leak")).distinct())
-    return docs.join(found, F.col("doc_id") == F.col("__leak"), "left_anti")
+    leak = unused(docs, "leak")
+    found = staged(leaks(docs, benchmark, min_words, identity, held_seeds).select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(found, F.col("doc_id") == F.col(leak), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import sized, staged, table
+from .common import sized, staged, table, unused
 from .groups import MinHash, bayes_keep, components, fingerprint, star_candidates
 
 N = 3
@@ -224,10 +224,11 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, toleranc
     gone = staged(
         rows.join(first, "root").where("doc_id is not null and (first is null or doc_id <> first)").select("doc_id").union(odd_ids).distinct()
     )
-    kept = docs.join(sized(gone.select(F.col("doc_id").alias("__gone"))), F.col("doc_id") == F.col("__gone"), "left_anti").where("doc_id is not null")
+    own, other = F.col("doc_id"), unused(docs, "other")
+    kept = docs.join(sized(gone.select(F.col("doc_id").alias(other))), own == F.col(other), "left_anti").where("doc_id is not null")
     if twice.isEmpty():
         return kept
-    odd = docs.join(sized(odd_ids.select(F.col("doc_id").alias("__odd"))), F.col("doc_id") == F.col("__odd"), "left_semi").union(docs.where("doc_id is null"))
+    odd = docs.join(sized(odd_ids.select(F.col("doc_id").alias(other))), own == F.col(other), "left_semi").union(docs.where("doc_id is null"))
     packed = odd.select(F.struct(*docs.columns).alias("row"))
     # the set of each such row, computed again: there are few
     with_fp = packed.select("row", F.col("row.doc_id").cast("long").alias("c0"), F.col("row.text").cast("string").alias("text")).select("row", "c0", "text", F.xxhash64("text").alias("h"))
