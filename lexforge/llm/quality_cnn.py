@@ -188,7 +188,8 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPO
                 hot[np.arange(len(g)), filt] = 1
                 grads[1] += flat.T @ hot
                 back = (net.filters[:, filt].T * g[:, None]).reshape(-1, EMBED)
-                np.add.at(grads[0], seen.ravel(), back)
+                slots = seen.reshape(-1, 1).astype(np.int64) * EMBED + np.arange(EMBED)
+                grads[0] += np.bincount(slots.ravel(), back.ravel(), minlength=256 * EMBED).reshape(256, EMBED).astype(np.float32)
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
