@@ -77,7 +77,8 @@ def ngrams(c: Column | str, n: int) -> Column:
 
 def ngrams_of(w: Column, n: int) -> Column:
     def of(x: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(x) - (n - 1)), lambda i: F.array_join(F.slice(x, i, F.lit(n)), " "))
+        starts = F.slice(x, F.lit(1), F.size(x) - (n - 1))
+        grams = F.transform(starts, lambda first, i: F.concat_ws(" ", first, *[F.get(x, i + k) for k in range(1, n)]))
         return F.when(F.size(x) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
     # bound as a lambda's variable, the words are split once, not once an n-gram

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import ngrams
+from lexforge.sources.staging import staged
 
 
 def contamination(train: DataFrame, evaluation: DataFrame, ngram_size: int = 5, threshold: float = 0.8, text: str = "text", seq: str = "_seq") -> DataFrame:
@@ -48,7 +49,8 @@ def near_duplicates(df: DataFrame, ngram_size: int = 5, threshold: float = 0.9,
     only those are joined; common n-grams, which would make the join quadratic,
     are at the end of that order.
     """
-    sets = df.select(F.col(seq).alias("i"), F.transform(ngrams(text, ngram_size), lambda g: F.xxhash64(g)).alias("g")).withColumn("g", F.array_distinct("g")).where(F.size("g") > 0)
+    # written once: the plan below reads the sets five times
+    sets = staged(df.select(F.col(seq).alias("i"), F.array_distinct(F.transform(ngrams(text, ngram_size), lambda g: F.xxhash64(g))).alias("g"))).where(F.size("g") > 0)
     if threshold <= 0:
         pairs = sets.alias("a").join(sets.alias("b"), F.col("a.i") < F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.g").alias("x"), F.col("b.g").alias("y"))
     else:

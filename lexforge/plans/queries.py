@@ -13,7 +13,7 @@ from lexforge.model import Dataset
 from lexforge.operators import dedup, leakage, quality, transform, validate
 from lexforge.plans import pipeline as pl
 from lexforge.sources import jsonl, manifest, registry
-from lexforge.sources.staging import shared_dir
+from lexforge.sources.staging import shared_dir, spread
 from lexforge.streaming import jsonl_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_seq"), "text")
+    return spread(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_seq"), "text"))
 
 
 def _strip(x: str) -> str:
@@ -81,12 +81,12 @@ g AS (SELECT DISTINCT k, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM p)""
 
 @query("text_clean", f"WITH {_CLEANED} SELECT doc_id, text FROM clean")
 def text_clean(spark, d):
-    return _read(spark, d, "documents").select("doc_id", tx.clean("text").alias("text")).where("text is not null")
+    return spread(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.clean("text").alias("text")).where("text is not null")
 
 
 @query("training_prep", f"WITH {_CLEANED} " + _FIRST.format("clean"))
 def training_prep(spark, d):
-    cleaned = _read(spark, d, "documents").select("doc_id", tx.clean("text").alias("text")).where("text is not null")
+    cleaned = text_clean(spark, d)
     return dedup.exact_filter(cleaned, "text", "doc_id")
 
 
