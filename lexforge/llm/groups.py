@@ -69,8 +69,8 @@ def star_candidates(nodes: DataFrame, rows: int) -> DataFrame:
     two and up to ``rows`` minima after the band: a bucket that grows with the
     corpus, or that a shared passage fills, is told apart by these, and like
     texts still meet in it. This is linear in the nodes however large a bucket
-    grows: a group is spanned, not multiplied out. One shuffle and one sort
-    serve all levels.
+    grows: a group is spanned, not multiplied out. One shuffle by band key
+    serves all levels.
     """
     n = F.size("bands")
     binary = dict(nodes.dtypes)["sig"] == "binary"
@@ -83,7 +83,7 @@ def star_candidates(nodes: DataFrame, rows: int) -> DataFrame:
     after = [f"after_{k}" for k in range(rows)]
     out = nodes.select("node", "bands", "sig", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(
         "node", F.get("bands", F.col("i")).alias("key"), *[minimum(k).alias(c) for k, c in enumerate(after)]
-    )
+    ).repartition("key")
     least = []
     for k in range(rows, -1, -1):  # the finest first: its order serves the others
         least.append(f"least_{k}")
