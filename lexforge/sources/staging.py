@@ -32,13 +32,3 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores.
-
-    A large table has more splits than that and is left alone; a file of a few
-    row groups would else be worked on by a few cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
