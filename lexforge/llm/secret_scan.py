@@ -4,8 +4,9 @@ A text is the first layer. Each layer is scanned for secrets and for encoded
 stretches (URL escapes, Unicode and hexadecimal escapes, HTML references, base64
 in both alphabets, and gzip, zlib, bzip2 or xz data inside base64); each stretch
 is decoded into a further layer and put on the worklist, until nothing new comes
-out. A layer whose content was met before within the document is not entered
-again, so cycles end; decoded data is bounded by ``MAX_EXPANSION`` times the
+out. Cycles end: below one encoded stretch a content met before is not entered
+again. A stretch that stands several times in a document is decoded once, and its
+findings are given at each of its places. Decoded data is bounded by ``MAX_EXPANSION`` times the
 document, a guard against compression bombs. Every layer keeps the span of the
 original text it came from: for escapes character by character, for base64 and
 compressed data the encoded stretch.
@@ -151,54 +152,112 @@ def _base64(s: str, room: int) -> tuple[str, str] | None:
     return (text, locals().get("packed", "")) if text and plain >= 0.9 * len(text) else None
 
 
+class _Document:
+    """What was decoded so far of one document: room left, and each stretch's findings."""
+
+    def __init__(self, text: str):
+        self.room = max(LEAST_EXPANSION, MAX_EXPANSION * len(text))
+        self.known: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+
+    def stretch(self, s: str) -> list[tuple[str, tuple[str, ...]]]:
+        """(kind, encodings) of each secret inside an encoded stretch, the least
+        deep of a kind first. Decoded once: a copy has the findings of the first."""
+        if s not in self.known:
+            self.known[s] = list(self._inside(s).items())
+        return self.known[s]
+
+    def _inside(self, s: str) -> dict[str, tuple[str, ...]]:
+        found: dict[str, tuple[str, ...]] = {}
+        seen: set[str] = set()
+        work: list[tuple[str, tuple[str, ...]]] = []
+
+        def decode(s: str, path: tuple[str, ...]) -> None:
+            if self.room > 0 and (got := _base64(s, self.room)) and got[0] not in seen:
+                self.room -= len(got[0])
+                work.append((got[0], (*path, "base64", *([got[1]] if got[1] else []))))
+
+        decode(s, ())
+        while work:
+            layer, path = work.pop(0)
+            if layer in seen:
+                continue
+            seen.add(layer)
+            for _, _, kind in secrets_in(layer):
+                found.setdefault(kind, path)
+            out, kinds, _, _ = _unescaped(layer, None, None, False)
+            if kinds:
+                self.room -= len(out)
+                if self.room >= 0:
+                    work.append((out, (*path, kinds)))
+            for m in _BASE64.finditer(layer):
+                decode(m[0], path)
+        return found
+
+
+def _unescaped(layer: str, starts: list[int] | None, ends: list[int] | None, mapped: bool) -> tuple[str, str, list[int] | None, list[int] | None]:
+    """The layer with its escapes read, their names ("" if it has none), and, if
+    ``mapped``, the original start and end of each character."""
+    if not ("%" in layer or "\\" in layer or "&" in layer):
+        return layer, "", starts, ends
+    parts, s2, e2, kinds, at = [], [], [], set(), 0
+    for m in _ESCAPED.finditer(layer):
+        new = _unescape(m)
+        if not new:
+            continue
+        kinds.add("url" if m["url"] else "html" if m["ref"] else "unicode")
+        if mapped:
+            s2 += range(at, m.start()) if starts is None else starts[at : m.start()]
+            e2 += range(at + 1, m.start() + 1) if ends is None else ends[at : m.start()]
+            spans = [_span(m.start() + a, m.start() + b, starts, ends) for _, a, b in new]
+            s2 += [a for a, _ in spans]
+            e2 += [b for _, b in spans]
+        parts += [layer[at : m.start()], "".join(c for c, _, _ in new)]
+        at = m.end()
+    if not parts:
+        return layer, "", starts, ends
+    if mapped:
+        s2 += range(at, len(layer)) if starts is None else starts[at:]
+        e2 += range(at + 1, len(layer) + 1) if ends is None else ends[at:]
+    return "".join([*parts, layer[at:]]), "+".join(sorted(kinds)), s2, e2
+
+
+def _span(a: int, b: int, starts: list[int] | None, ends: list[int] | None) -> tuple[int, int]:
+    return (a, b) if starts is None or ends is None else (starts[a], max(ends[a:b]))
+
+
 def scan(text: str | None) -> list[tuple[int, int, str, str, int]]:
     """(start, end, kind, encodings from the outside, depth), by place in the text."""
     if not text:
         return []
-    room = max(LEAST_EXPANSION, MAX_EXPANSION * len(text))
-    found: dict[tuple[int, int, str], tuple[str, int]] = {}
-    seen: set[str] = set()
-    # a layer: text, original start and end of each character (None: as it is), or one span for all, path
-    work: list[tuple[str, list[int] | None, list[int] | None, tuple[int, int] | None, tuple[str, ...]]] = [(text, None, None, None, ())]
-    while work:
-        layer, starts, ends, whole, path = work.pop(0)
-        if layer in seen:
-            continue
-        seen.add(layer)
-
-        def span(a: int, b: int) -> tuple[int, int]:
-            return whole or ((a, b) if starts is None else (starts[a], max(ends[a:b])))
-
+    document = _Document(text)
+    found: dict[tuple[int, int, str], tuple[str, ...]] = {}
+    placed: set[tuple[int, str]] = set()
+
+    def add(span: tuple[int, int], kind: str, path: tuple[str, ...]) -> None:
+        if len(found.get((*span, kind), path)) >= len(path):
+            found[*span, kind] = path
+
+    # the text, then the same with its escapes read, as long as there are any:
+    # each reading is shorter; starts and ends are its characters' places in the text
+    layer, starts, ends, path = text, None, None, ()
+    while True:
         for a, b, kind in secrets_in(layer):
-            found.setdefault((*span(a, b), kind), (">".join(path), len(path)))
-        if "%" in layer or "\\" in layer or "&" in layer:
-            parts, s2, e2, kinds, at = [], [], [], set(), 0
-            for m in _ESCAPED.finditer(layer):
-                new = _unescape(m)
-                if not new:
-                    continue
-                kinds.add("url" if m["url"] else "html" if m["ref"] else "unicode")
-                if whole is None:
-                    s2 += range(at, m.start()) if starts is None else starts[at : m.start()]
-                    e2 += range(at + 1, m.start() + 1) if ends is None else ends[at : m.start()]
-                    spans = [span(m.start() + a, m.start() + b) for _, a, b in new]
-                    s2 += [a for a, _ in spans]
-                    e2 += [b for _, b in spans]
-                parts += [layer[at : m.start()], "".join(c for c, _, _ in new)]
-                at = m.end()
-            if parts:
-                out = "".join([*parts, layer[at:]])
-                if whole is None:
-                    s2 += range(at, len(layer)) if starts is None else starts[at:]
-                    e2 += range(at + 1, len(layer) + 1) if ends is None else ends[at:]
-                room -= len(out)
-                if room >= 0:
-                    work.append((out, s2 if whole is None else None, e2 if whole is None else None, whole, (*path, "+".join(sorted(kinds)))))
+            add(_span(a, b, starts, ends), kind, path)
         for m in _BASE64.finditer(layer):
-            if room > 0 and (got := _base64(m[0], room)) and got[0] not in seen:
-                room -= len(got[0])
-                work.append((got[0], None, None, span(*m.span()), (*path, "base64", *([got[1]] if got[1] else []))))
-    return [(a, b, kind, path, depth) for (a, b, kind), (path, depth) in sorted(found.items())]
+            a, b = _span(*m.span(), starts, ends)
+            # a later reading may only add padding, which was escaped
+            if (a, m[0].rstrip("=")) not in placed:
+                placed.add((a, m[0].rstrip("=")))
+                for kind, inner in document.stretch(m[0]):
+                    add((a, b), kind, (*path, *inner))
+        layer, kinds, starts, ends = _unescaped(layer, starts, ends, True)
+        if not kinds:
+            break
+        document.room -= len(layer)
+        if document.room < 0:
+            break
+        path = (*path, kinds)
+    return [(a, b, kind, ">".join(path), len(path)) for (a, b, kind), path in sorted(found.items())]
 
 
 def redacted(text: str | None) -> str | None:

@@ -322,6 +322,16 @@ def test_nested_layers_end(monkeypatch):
     assert secret_scan.scan(bomb) == []
 
 
+@pytest.mark.parametrize("pack", [lambda s: s.encode(), lambda s: gzip.compress(s.encode(), mtime=0)])
+def test_each_copy_of_an_encoded_secret_is_found(pack):
+    blob = b64(pack("key is " + AWS))
+    other = b64(zlib.compress(("key is " + AWS).encode()))  # decodes to the same text
+    text = f"{blob}\n and {blob}, {other} then {b64('again ' + blob)} {blob}"
+    found = [f for f in secret_scan.scan(text) if f[2] == "aws_access_key"]
+    assert len(found) == 5 and [text[a:b].rstrip("=") for a, b, *_ in found][:3] == [blob.rstrip("="), blob.rstrip("="), other.rstrip("=")]
+    assert secret_scan.redacted(text).count("[AWS_ACCESS_KEY]") == 5 and blob not in secret_scan.redacted(text)
+
+
 def test_redaction_of_rows(spark):
     df = docs_of(spark, [f"a {AWS} b", "clean", None, ""]).withColumn("kind", F.lit(1))
     rows = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
