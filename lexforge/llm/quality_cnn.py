@@ -4,18 +4,22 @@ Each byte has a learned vector; learned filters of ``KERNEL`` bytes run over the
 document at steps of ``STEP`` bytes. The document is covered by overlapping
 chunks; in each the filters' outputs are max-pooled (and rectified). The largest
 and the mean of a document's chunk values are combined by a logistic unit into
-the probability that its quality is good. Whole documents are read, whatever
+the probability that its quality is good. A second network of the same kind, with
+steps of ``FINE`` bytes, gives the probability that it isn't toxic; a document must
+pass both, and its probability is their product. Whole documents are read, whatever
 their length: chunks stream through a running maximum and sum.
 
-The network is trained here on labelled rows, at most ``MAX_LABELLED`` of them
-(those with the smallest hash of their text): a documented bound for fitting
+The networks are trained here on labelled rows, at most ``MAX_LABELLED`` of them
+(those with the smallest hash of their id; as many toxic and as many other ones): a documented bound for fitting
 only. The cut-off is set on a part of them that training didn't see, so that at
 most ``GOOD_LOST`` of the good ones fall below it.
 
 Defined cases: a null text counts as empty; an empty text has the probability of
 a document of padding only, and is rejected if ``texts`` says nothing else; if
 there are fewer than ``LEAST_PER_CLASS`` labelled rows of either class, nothing
-can be learned and every document is accepted with a null probability. A null
+can be learned and every document is accepted with a null probability; so too for
+toxic ones alone, if either kind is too rare or there is no column ``toxic``. A
+toxic row, or one of which that isn't known, is no example of good quality. A null
 label or doc_id trains nothing. Repeated rows are scored alike. Other columns
 pass through ``keep_good`` unchanged.
 """
@@ -46,9 +50,8 @@ _BLOCK = 1 << 18
 #: Bytes of one document held at once; a longer one is read in several parts.
 _PART = 1 << 18
 
-_PARTS = KERNEL // STEP
-_POS = CHUNK // STEP  # filter places of a chunk
-_HOP = HOP // STEP
+#: Steps of the network that tells toxic texts: single words, wherever they start.
+FINE = 1
 
 
 @dataclass
@@ -59,38 +62,40 @@ class Net:
     weight: np.ndarray  # 2 * FILTERS
     base: float
     cut: float = 0.5
+    step: int = STEP
 
 
-def _padded(n: int) -> int:
+def _padded(n: int, step: int) -> int:
     """Filter places of a text of n bytes: whole hops, at least one chunk."""
-    places = max(1, -(-n // STEP))
-    return max(_POS, -(-max(0, places - _POS) // _HOP) * _HOP + _POS)
+    pos, hop = CHUNK // step, HOP // step
+    places = max(1, -(-n // step))
+    return max(pos, -(-max(0, places - pos) // hop) * hop + pos)
 
 
 def _responses(net: Net, data: np.ndarray) -> np.ndarray:
-    """Filter outputs (without bias) at each STEP bytes; the last ones see zero bytes."""
-    x = net.embed[data].reshape(-1, STEP * EMBED)
-    w = net.filters.reshape(_PARTS, STEP * EMBED, FILTERS)
+    """Filter outputs (without bias) at each step; the last ones see zero bytes."""
+    x = net.embed[data].reshape(-1, net.step * EMBED)
+    w = net.filters.reshape(KERNEL // net.step, net.step * EMBED, FILTERS)
     y = x @ w[0]
-    for k in range(1, _PARTS):
+    for k in range(1, len(w)):
         y[:-k] += x[k:] @ w[k]
     return y
 
 
-def _chunk_max(y: np.ndarray) -> np.ndarray:
+def _chunk_max(y: np.ndarray, step: int) -> np.ndarray:
     """Maxima over the overlapping chunks of one document's places."""
-    half = y.reshape(-1, _HOP, FILTERS).max(axis=1)
+    half = y.reshape(-1, HOP // step, FILTERS).max(axis=1)
     return np.maximum(half[:-1], half[1:]) if len(half) > 1 else half
 
 
-def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _layout(texts: list[bytes], step: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts, each padded with zero bytes and a kernel's width apart, and their places."""
-    gap = KERNEL // STEP
-    places = np.array([_padded(len(t)) for t in texts])
+    gap = KERNEL // step
+    places = np.array([_padded(len(t), step) for t in texts])
     first = np.concatenate(([0], np.cumsum(places + gap)))
-    data = np.zeros(first[-1] * STEP, np.uint8)
+    data = np.zeros(first[-1] * step, np.uint8)
     for t, at in zip(texts, first.tolist()):
-        data[at * STEP : at * STEP + len(t)] = np.frombuffer(t, np.uint8)
+        data[at * step : at * step + len(t)] = np.frombuffer(t, np.uint8)
     return data, np.stack([first[:-1], first[:-1] + places], axis=1)
 
 
@@ -103,10 +108,10 @@ def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
     for i in [*small, None]:
         if i is None or (size and size + len(texts[i]) > _BLOCK):
             if block:
-                data, places = _layout([texts[k] for k in block])
+                data, places = _layout([texts[k] for k in block], net.step)
                 y = _responses(net, data)
                 for k, (a, b) in zip(block, places.tolist()):
-                    c = np.maximum(_chunk_max(y[a:b]) + net.bias, 0)
+                    c = np.maximum(_chunk_max(y[a:b], net.step) + net.bias, 0)
                     out[k, :FILTERS], out[k, FILTERS:] = c.max(axis=0), c.mean(axis=0)
             block, size = [], 0
         if i is not None:
@@ -120,13 +125,13 @@ def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
 
 def _long(net: Net, text: bytes) -> np.ndarray:
     """As ``pooled``, in parts that overlap by a hop so that every chunk is seen once."""
-    total = _padded(len(text)) * STEP
+    total = _padded(len(text), net.step) * net.step
     text = text + bytes(total + KERNEL - len(text))
     best, added, n = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64), 0
     for at in range(0, total - HOP, _PART):
         upto = min(total, at + _PART + HOP)
-        y = _responses(net, np.frombuffer(text, np.uint8, count=upto + KERNEL - at, offset=at))[: (upto - at) // STEP]
-        c = np.maximum(_chunk_max(y) + net.bias, 0)
+        y = _responses(net, np.frombuffer(text, np.uint8, count=upto + KERNEL - at, offset=at))[: (upto - at) // net.step]
+        c = np.maximum(_chunk_max(y, net.step) + net.bias, 0)
         best, added, n = np.maximum(best, c.max(axis=0)), added + c.sum(axis=0), n + len(c)
     return np.concatenate([best, added / n])
 
@@ -136,14 +141,15 @@ def probability(net: Net, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> Net:
+def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPOCHS, step: int = STEP) -> Net:
     """Adam on weighted log loss; both classes weigh the same. A max-pool passes
     its gradient to the places of the maxima only, so the backward step is small."""
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Net(
         rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), rng.normal(0, (KERNEL * EMBED) ** -0.5, (KERNEL * EMBED, FILTERS)).astype(np.float32),
-        np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0,
+        np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0, step=step,
     )
+    hop = HOP // step
     base = np.zeros(1, np.float32)
     params = [net.embed, net.filters, net.bias, net.weight, base]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -153,13 +159,13 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPO
         order = rng.permutation(len(texts))
         for a in range(0, len(order), 16):
             batch = order[a : a + 16]
-            data, places = _layout([texts[i] for i in batch])
+            data, places = _layout([texts[i] for i in batch], step)
             y = _responses(net, data)
             grads = [np.zeros_like(p) for p in params]
             wide = np.concatenate([data, np.zeros(KERNEL, np.uint8)])
             for i, (p, q) in zip(batch.tolist(), places.tolist()):
-                own = y[p:q].reshape(-1, _HOP, FILTERS)
-                arg = own.argmax(axis=1) + np.arange(len(own))[:, None] * _HOP
+                own = y[p:q].reshape(-1, hop, FILTERS)
+                arg = own.argmax(axis=1) + np.arange(len(own))[:, None] * hop
                 half = np.take_along_axis(y[p:q], arg, axis=0)
                 if len(half) > 1:
                     left = half[:-1] >= half[1:]
@@ -181,7 +187,7 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPO
                 if not len(chunk):
                     continue
                 g = dc[chunk, filt]
-                at = (p + arg[chunk, filt]) * STEP
+                at = (p + arg[chunk, filt]) * step
                 seen = wide[at[:, None] + np.arange(KERNEL)]
                 flat = net.embed[seen].reshape(len(g), -1) * g[:, None]
                 hot = np.zeros((len(g), FILTERS), np.float32)
@@ -199,14 +205,14 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPO
     return net
 
 
-def fit(labelled: list[tuple[str, int]], seed: int = 5) -> Net | None:
-    """The network for (text, quality) rows, or None if a class is too rare."""
+def fit(labelled: list[tuple[str, int]], seed: int = 5, step: int = STEP) -> Net | None:
+    """The network for (text, 1 if good else 0) rows, or None if a class is too rare."""
     texts = [t.encode() for t, _ in labelled]
     good = np.array([q for _, q in labelled], np.float32)
     if min((good == 1).sum(), (good == 0).sum()) < LEAST_PER_CLASS:
         return None
     held = np.arange(len(texts)) % 5 == 4
-    net = train([t for t, h in zip(texts, held) if not h], good[~held], seed)
+    net = train([t for t, h in zip(texts, held) if not h], good[~held], seed, step=step)
     p = probability(net, [t for t, h in zip(texts, held) if h])
     of = good[held]
     if (of == 1).any():
@@ -218,27 +224,59 @@ def fit(labelled: list[tuple[str, int]], seed: int = 5) -> Net | None:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    known = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("q")).where("k is not null and q in (0, 1)").distinct()
+    """(text, quality); toxic rows are no examples of good quality."""
+    quality = F.col("quality").cast("int")
+    if "toxic" in labels.columns:
+        quality = F.when((quality == 0) | (F.col("toxic").cast("int") == 0), quality)
+    return _picked(docs, labels.select(F.col("doc_id").cast("long").alias("k"), quality.alias("q")), limit)
+
+
+def toxic_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[tuple[str, int]]:
+    """(text, 0 if toxic else 1), at most ``limit`` of each: toxic ones are rare."""
+    if "toxic" not in labels.columns:
+        return []
+    known = labels.select(F.col("doc_id").cast("long").alias("k"), (1 - F.col("toxic").cast("int")).alias("q"))
+    return _mixed([(k, t, q) for value in (0, 1) for k, t, q in _fetched(docs, known.where(F.col("q") == value), limit)])
+
+
+def _picked(docs: DataFrame, known: DataFrame, limit: int) -> list[tuple[str, int]]:
+    return _mixed(_fetched(docs, known, limit))[: 2 * limit]
+
+
+def _fetched(docs: DataFrame, known: DataFrame, limit: int) -> list[tuple[int, str, int]]:
     # the rows are picked by id alone, and only their texts are fetched
-    picked = known.orderBy(F.xxhash64("k"), "k", "q").limit(limit)
+    picked = known.where("k is not null and q in (0, 1)").distinct().orderBy(F.xxhash64("k"), "k", "q").limit(limit)
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("t")).join(F.broadcast(picked), "k").select("k", "t", "q")
         .where("t is not null").collect()
     )
-    return [(r.t, r.q) for r in sorted(set(rows), key=lambda r: (r.k * 0x9E3779B97F4A7C15 % 2**64, r.t, r.q))][: 2 * limit]
+    return sorted({(r.k, r.t, r.q) for r in rows})
+
+
+def _mixed(rows: list[tuple[int, str, int]]) -> list[tuple[str, int]]:
+    return [(t, q) for _, t, q in sorted(rows, key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r[1], r[2]))]
+
+
+def fit_all(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[Net]:
+    """The networks that a document must pass: of quality, and of not being toxic."""
+    nets = [fit(labelled_rows(docs, labels, limit)), fit(toxic_rows(docs, labels, limit), step=FINE)]
+    return [net for net in nets if net is not None]
 
 
 def _score(shared, mode: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        nets = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = pc.fill_null(ta.column(batch, "text").cast(pa.large_string()), "")
-            p = []
+            p, good = [], []
             for a, b in ta.blocks(col):
-                p += probability(net, [s.as_buffer().to_pybytes() for s in col.slice(a, b - a)]).tolist()
-            good = pa.array([x >= net.cut for x in p])
+                texts = [s.as_buffer().to_pybytes() for s in col.slice(a, b - a)]
+                each = [probability(net, texts) for net in nets]
+                p += np.prod(each, axis=0).tolist()
+                good += np.all([x >= net.cut for x, net in zip(each, nets)], axis=0).tolist()
+            good = pa.array(good, pa.bool_())
             if mode == "keep":
                 yield batch.filter(good)
             else:
@@ -248,20 +286,20 @@ def _score(shared, mode: str):
 
 
 def classify(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, limit: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, probability of good quality, and whether it is accepted."""
-    net = fit(labelled_rows(training if training is not None else docs, labels, limit))
+    """doc_id, probability of good quality and not being toxic, and whether it is accepted."""
+    nets = fit_all(training if training is not None else docs, labels, limit)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if net is None:
+    if not nets:
         return plain.select("doc_id", F.lit(None).cast("double").alias("probability"), F.lit(True).alias("accepted"))
-    return plain.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(net), "score"), "doc_id long, probability double, accepted boolean")
+    return plain.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(nets), "score"), "doc_id long, probability double, accepted boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
-    net = fit(labelled_rows(docs, labels, limit))
-    if net is None:
+    nets = fit_all(docs, labels, limit)
+    if not nets:
         return docs
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(net), "keep"), docs.schema)
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(nets), "keep"), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

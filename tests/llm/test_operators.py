@@ -268,6 +268,18 @@ def test_classifier_without_labels_accepts_all(spark):
     assert quality_cnn.keep_good(docs_of(spark, ["a"]), none).count() == 1
 
 
+def test_classifier_rejects_toxic_texts_of_good_quality(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 60) + (" zzqx" * 3 + " " + prose(rng, 20) if i % 3 == 0 else "") for i in range(240)]
+    rows = [(i, 1, int(i % 3 == 0)) for i in range(180)]
+    labels = spark.createDataFrame([*rows, (181, 1, None), (182, None, 0)], "doc_id long, quality int, toxic int")
+    known = quality_cnn.labelled_rows(docs_of(spark, texts), labels)
+    assert [q for _, q in known] == [1] * 120 and not any("zzqx" in t for t, _ in known)
+    accepted = {r["doc_id"]: r["accepted"] for r in quality_cnn.classify(docs_of(spark, texts), labels).collect()}
+    held = range(180, 240)
+    assert np.mean([not accepted[i] for i in held if i % 3 == 0]) >= 0.9 and np.mean([accepted[i] for i in held if i % 3]) >= 0.9
+
+
 # --- 10: secret scans ------------------------------------------------------------
 
 AWS = "AKIA" + "Q7XJ2M4N6P8R3S5T"
