@@ -6,8 +6,10 @@ in both alphabets, and gzip, zlib, bzip2 or xz data inside base64); each stretch
 is decoded into a further layer and put on the worklist, until nothing new comes
 out. Cycles end: below one encoded stretch a content met before is not entered
 again. A stretch that stands several times in a document is decoded once, and its
-findings are given at each of its places. Decoded data is bounded by ``MAX_EXPANSION`` times the
-document, a guard against compression bombs. Every layer keeps the span of the
+findings are given at each of its places. Compressed data is read to its end,
+all members of it, in overlapping pieces. Guards against compression bombs
+(``LAYER_BYTES`` and the others) are wide; a stretch that isn't read to its end
+has a finding ``unread_layer`` and is redacted. Every layer keeps the span of the
 original text it came from: for escapes character by character, for base64 and
 compressed data the encoded stretch.
 
@@ -24,12 +26,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import html
 import lzma
 import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import textarrays as ta
 from .common import table
 
-#: Decoded bytes of a document, as a multiple of its length, and at least this many.
-MAX_EXPANSION, LEAST_EXPANSION = 64, 1 << 20
+#: Guards against compression bombs: bytes of one packed layer, its longest run of
+#: base64, layers packed into one another, and decoded characters of a document.
+#: What goes on beyond them has a finding of the kind ``UNREAD``.
+LAYER_BYTES, LONGEST_RUN, MAX_NESTED, DOCUMENT_BYTES = 1 << 28, 1 << 25, 100, 1 << 31
+UNREAD = "unread_layer"
+_PIECE, _OVERLAP = 1 << 20, 1 << 16
+_RUN = re.compile(r"[A-Za-z0-9+/_=\s-]*")
 
 #: kind: pattern; the secret is group 1, or the whole match.
 SECRETS = {
@@ -122,75 +132,166 @@ def _unescape(m: re.Match) -> list[tuple[str, int, int]]:
     return [] if out == s else [(c, 0, len(s)) for c in out]
 
 
-def _unpack(data: bytes, room: int) -> tuple[bytes, str]:
-    """Compressed data opened, at most ``room`` bytes of it; other data as it is."""
+class _Unread(Exception):
+    """A layer that goes on beyond its account."""
+
+
+def _opener(head: bytes):
     for magic, name in _MAGIC:
-        if data.startswith(magic):
-            opener = {"gzip": lambda: zlib.decompressobj(31), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[name]()
-            return opener.decompress(data, room), name
-    if len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        return zlib.decompressobj().decompress(data, room), "zlib"
-    return data, ""
+        if head.startswith(magic):
+            return {"gzip": lambda: zlib.decompressobj(31), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[name](), name
+    if len(head) > 2 and head[0] & 0x8F == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(), "zlib"
+    return None, ""
+
+
+def _members(chunks: Iterator[bytes], names: list[str], level: int) -> Iterator[bytes]:
+    """Compressed data opened, member after member, in pieces; other data as it is.
+    ``names`` gets the compressions, the outermost first."""
+    head = b""
+    for more in chunks:
+        head += more
+        if len(head) >= 6:
+            break
+    machine, name = _opener(head)
+    rest = chain([head] if head else [], chunks)
+    if machine is None:
+        yield from rest
+        return
+    if level >= MAX_NESTED:
+        raise _Unread
+    names.append(name)
+    yield from _members(_inflated(rest, machine), names, level + 1)
+
+
+def _inflated(chunks: Iterator[bytes], machine) -> Iterator[bytes]:
+    size = 0
+    for data in chunks:
+        while data or machine is not None:
+            if machine is None:  # between members: the next one, or data that isn't packed
+                while len(data) < 6 and (more := next(chunks, b"")):
+                    data += more
+                machine, _ = _opener(data)
+                if machine is None:
+                    yield data
+                    yield from chunks
+                    return
+            out = machine.decompress(data, _PIECE)
+            data = getattr(machine, "unconsumed_tail", b"")
+            size += len(out)
+            if size > LAYER_BYTES:
+                raise _Unread
+            if out:
+                yield out
+            if machine.eof:
+                data, machine = machine.unused_data.lstrip(b"\0"), None
+                if not data:
+                    break
+            elif not data and (len(out) < _PIECE if hasattr(machine, "unconsumed_tail") else machine.needs_input):
+                break
 
 
-def _base64(s: str, room: int) -> tuple[str, str] | None:
-    """(text, name of the compression) of a base64 stretch that holds text."""
+def _plain(text: str) -> bool:
+    return bool(text) and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text)
+
+
+def _pieces(data: bytes, names: list[str]) -> Iterator[str]:
+    """The text in compressed data, in pieces that overlap: a stretch of base64 or
+    a key that runs into a piece's end is in the next one again, from its start."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held, size = "", _PIECE
+    fault = False
+    try:
+        for out in _members(iter([data]), names, 0):
+            held += decoder.decode(out)
+            if len(held) >= size:
+                tail = _RUN.search(held[::-1])
+                keep = min(len(held) - _OVERLAP, len(held) - tail.end() - 128)
+                if keep < len(held) // 2 and len(held) < LONGEST_RUN:
+                    size = 2 * len(held)  # mostly one run: more of it first
+                    continue
+                yield held
+                if keep < len(held) // 2:
+                    fault = True
+                    keep = len(held) - _OVERLAP
+                held, size = held[max(0, keep) :], _PIECE + len(held) - max(0, keep)
+    except (ValueError, zlib.error, OSError, EOFError, lzma.LZMAError):
+        if not held and not names:
+            return
+    except _Unread:
+        fault = True
+    if held:
+        yield held
+    if fault:
+        raise _Unread
+
+
+def _decoded(s: str) -> bytes | None:
     compact = re.sub(r"\s", "", s).rstrip("=").replace("-", "+").replace("_", "/")
     if len(compact) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(compact + "=" * (-len(compact) % 4))
-        for _ in range(8):  # compressed more than once
-            more, name = _unpack(data, room)
-            if not name:
-                break
-            data, packed = more, name
-        text = data.decode("utf-8")
-    except (ValueError, binascii.Error, zlib.error, OSError, EOFError, lzma.LZMAError):
+        return base64.b64decode(compact + "=" * (-len(compact) % 4))
+    except (ValueError, binascii.Error):
         return None
-    plain = sum(c.isprintable() or c in "\r\n\t" for c in text)
-    return (text, locals().get("packed", "")) if text and plain >= 0.9 * len(text) else None
+
+
+def _layers(s: str) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """(text, encodings) of what a base64 stretch holds; raises _Unread at what is left."""
+    data = _decoded(s)
+    if data is None:
+        return
+    try:
+        text = data.decode("utf-8")
+    except ValueError:
+        text = ""
+    if _plain(text):
+        yield text, ("base64",)
+    if _opener(data)[0] is not None:
+        names: list[str] = []
+        for text in _pieces(data, names):
+            yield text, ("base64", *names)
 
 
 class _Document:
-    """What was decoded so far of one document: room left, and each stretch's findings."""
+    """What was decoded so far of one document: bytes, and each stretch's findings."""
 
-    def __init__(self, text: str):
-        self.room = max(LEAST_EXPANSION, MAX_EXPANSION * len(text))
+    def __init__(self):
+        self.size = 0
         self.known: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
 
     def stretch(self, s: str) -> list[tuple[str, tuple[str, ...]]]:
         """(kind, encodings) of each secret inside an encoded stretch, the least
-        deep of a kind first. Decoded once: a copy has the findings of the first."""
+        deep of a kind. Decoded once: a copy has the findings of the first."""
         if s not in self.known:
             self.known[s] = list(self._inside(s).items())
         return self.known[s]
 
     def _inside(self, s: str) -> dict[str, tuple[str, ...]]:
         found: dict[str, tuple[str, ...]] = {}
-        seen: set[str] = set()
-        work: list[tuple[str, tuple[str, ...]]] = []
-
-        def decode(s: str, path: tuple[str, ...]) -> None:
-            if self.room > 0 and (got := _base64(s, self.room)) and got[0] not in seen:
-                self.room -= len(got[0])
-                work.append((got[0], (*path, "base64", *([got[1]] if got[1] else []))))
-
-        decode(s, ())
+        seen: set[bytes] = set()
+        # stretches still to be decoded: nothing of what is inside is held meanwhile
+        work: list[tuple[str, tuple[str, ...]]] = [(s, ())]
         while work:
-            layer, path = work.pop(0)
-            if layer in seen:
-                continue
-            seen.add(layer)
-            for _, _, kind in secrets_in(layer):
-                found.setdefault(kind, path)
-            out, kinds, _, _ = _unescaped(layer, None, None, False)
-            if kinds:
-                self.room -= len(out)
-                if self.room >= 0:
-                    work.append((out, (*path, kinds)))
-            for m in _BASE64.finditer(layer):
-                decode(m[0], path)
+            s, path = work.pop(0)
+            try:
+                for layer, names in _layers(s):
+                    at = (*path, *names)
+                    while (key := hashlib.sha256(layer.encode("utf-8", "replace")).digest()) not in seen:
+                        seen.add(key)
+                        self.size += len(layer)
+                        if self.size > DOCUMENT_BYTES:
+                            raise _Unread
+                        for _, _, kind in secrets_in(layer):
+                            if len(found.get(kind, at)) >= len(at):
+                                found[kind] = at
+                        work += [(m[0], at) for m in _BASE64.finditer(layer)]
+                        layer, kinds, _, _ = _unescaped(layer, None, None, False)
+                        if not kinds:
+                            break
+                        at = (*at, kinds)
+            except _Unread:
+                found.setdefault(UNREAD, (*path, "base64"))
         return found
 
 
@@ -229,7 +330,7 @@ def scan(text: str | None) -> list[tuple[int, int, str, str, int]]:
     """(start, end, kind, encodings from the outside, depth), by place in the text."""
     if not text:
         return []
-    document = _Document(text)
+    document = _Document()
     found: dict[tuple[int, int, str], tuple[str, ...]] = {}
     placed: set[tuple[int, str]] = set()
 
@@ -253,8 +354,9 @@ def scan(text: str | None) -> list[tuple[int, int, str, str, int]]:
         layer, kinds, starts, ends = _unescaped(layer, starts, ends, True)
         if not kinds:
             break
-        document.room -= len(layer)
-        if document.room < 0:
+        document.size += len(layer)
+        if document.size > DOCUMENT_BYTES:
+            add(_span(0, len(layer), starts, ends) if starts is None else (min(starts), max(ends)), UNREAD, path)
             break
         path = (*path, kinds)
     return [(a, b, kind, ">".join(path), len(path)) for (a, b, kind), path in sorted(found.items())]

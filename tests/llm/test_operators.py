@@ -344,6 +344,22 @@ def test_each_copy_of_an_encoded_secret_is_found(pack):
     assert secret_scan.redacted(text).count("[AWS_ACCESS_KEY]") == 5 and blob not in secret_scan.redacted(text)
 
 
+def test_layers_are_read_to_their_end(monkeypatch):
+    log = "".join(f"line {i % 50} of the log\n" for i in range(200_000)).encode()
+    late = gzip.compress(log + f"key {AWS} end".encode())
+    parts = gzip.compress(b"first") + gzip.compress(f"key {AWS} end".encode())
+    deep = f"key {AWS} end".encode()
+    for k in range(20):
+        deep = (gzip.compress, bz2.compress, zlib.compress)[k % 3](deep)
+    for data in (late, parts, deep):
+        text = f"a {b64(data)} b {b64('key is ' + TOKEN)} c"
+        assert sorted({f[2] for f in secret_scan.scan(text)}) == ["aws_access_key", "github_token"]
+    chained = "%" + "25" * 300 + "41" + AWS[1:]
+    assert [f[2] for f in secret_scan.scan("word " * 20_000 + chained)] == ["aws_access_key"]
+    monkeypatch.setattr(secret_scan, "LAYER_BYTES", 1 << 20)
+    assert sorted({f[2] for f in secret_scan.scan(f"{b64(late)} {b64('key is ' + TOKEN)}")}) == ["github_token", "unread_layer"]
+
+
 def test_redaction_of_rows(spark):
     df = docs_of(spark, [f"a {AWS} b", "clean", None, ""]).withColumn("kind", F.lit(1))
     rows = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
