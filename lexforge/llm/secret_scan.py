@@ -82,7 +82,10 @@ MIN_ENTROPY = 2.5
 _ESCAPED = re.compile(
     r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|(?P<u>(?:\\u[0-9A-Fa-f]{4})+)|(?P<U>\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})|(?P<x>(?:\\x[0-9A-Fa-f]{2})+)|(?P<ref>&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,12});)"
 )
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+#: Text of some length in other bytes, and the start of packed data.
+_TEXT = re.compile(rb"(?:[\t\r\n -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00")
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
 
 
@@ -236,11 +239,49 @@ def _decoded(s: str) -> bytes | None:
         return None
 
 
-def _layers(s: str) -> Iterator[tuple[str, tuple[str, ...]]]:
-    """(text, encodings) of what a base64 stretch holds; raises _Unread at what is left."""
-    data = _decoded(s)
-    if data is None:
+def _readings(s: str) -> Iterator[tuple[bytes, int, int]]:
+    """The bytes that a base64 stretch may stand for, with their place in it: the
+    whole, without a short last line, its lines; then, if none of these is text,
+    what looks like text or packed data at the four alignments."""
+    lines = [m.span() for m in re.finditer(r"[^\r\n]+", s)]
+    whole = [(0, len(s))]
+    if len(lines) > 1:
+        whole += [(0, lines[-2][1]), *lines]
+    some = False
+    for a, b in whole:
+        data = _decoded(s[a:b])
+        if data is not None and _told(data):
+            some = True
+            yield data, a, b
+    if some:
         return
+    at = [i for i, c in enumerate(s) if c not in "\r\n="]
+    compact = "".join(s[i] for i in at).replace("-", "+").replace("_", "/")
+    after = [i + 1 for i, c in enumerate(compact) if c in "+/"]
+    for k in range(4):
+        body = compact[k:]
+        body = body[: len(body) - 1] if len(body) % 4 == 1 else body
+        if not body:
+            continue
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        starts = {(p - k) // 4 * 3 for p in after if p >= k and (p - k) % 4 == 0}
+        for m in _TEXT.finditer(data):
+            for i in sorted({m.start(), *(j for j in range(m.start() + 1, min(m.start() + 9, m.end())) if j in starts)}):
+                yield data[i : m.end()], at[min(i // 3 * 4 + k, len(at) - 1)], at[min(-(-m.end() // 3) * 4 + k, len(at)) - 1] + 1
+        packed = {m.start() for m in _PACKED.finditer(data)} | {i for i in starts if _opener(data[i : i + 6])[0] is not None}
+        for i in sorted(packed):
+            yield data[i:], at[min(i // 3 * 4 + k, len(at) - 1)], len(s)
+
+
+def _told(data: bytes) -> bool:
+    try:
+        return _plain(data.decode("utf-8"))
+    except ValueError:
+        return _opener(data)[0] is not None
+
+
+def _layers(data: bytes) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """(text, encodings) of what the bytes hold; raises _Unread at what is left."""
     try:
         text = data.decode("utf-8")
     except ValueError:
@@ -258,40 +299,46 @@ class _Document:
 
     def __init__(self):
         self.size = 0
-        self.known: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+        self.known: dict[str, list[tuple[int, int, str, tuple[str, ...]]]] = {}
 
-    def stretch(self, s: str) -> list[tuple[str, tuple[str, ...]]]:
-        """(kind, encodings) of each secret inside an encoded stretch, the least
-        deep of a kind. Decoded once: a copy has the findings of the first."""
+    def stretch(self, s: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
+        """(start, end, kind, encodings) of each secret inside an encoded stretch, the
+        least deep of a kind. Decoded once: a copy has the findings of the first."""
         if s not in self.known:
-            self.known[s] = list(self._inside(s).items())
+            found: dict[tuple[int, int, str], tuple[str, ...]] = {}
+            for data, a, b in _readings(s):
+                for kind, path in self._inside(data).items():
+                    if not any(x <= a and b <= y and k == kind for x, y, k in found):
+                        found[a, b, kind] = path
+            self.known[s] = [(*key, path) for key, path in found.items()]
         return self.known[s]
 
-    def _inside(self, s: str) -> dict[str, tuple[str, ...]]:
+    def _inside(self, data: bytes) -> dict[str, tuple[str, ...]]:
         found: dict[str, tuple[str, ...]] = {}
         seen: set[bytes] = set()
         # stretches still to be decoded: nothing of what is inside is held meanwhile
-        work: list[tuple[str, tuple[str, ...]]] = [(s, ())]
+        work: list[tuple[bytes | str, tuple[str, ...]]] = [(data, ())]
         while work:
-            s, path = work.pop(0)
-            try:
-                for layer, names in _layers(s):
-                    at = (*path, *names)
-                    while (key := hashlib.sha256(layer.encode("utf-8", "replace")).digest()) not in seen:
-                        seen.add(key)
-                        self.size += len(layer)
-                        if self.size > DOCUMENT_BYTES:
-                            raise _Unread
-                        for _, _, kind in secrets_in(layer):
-                            if len(found.get(kind, at)) >= len(at):
-                                found[kind] = at
-                        work += [(m[0], at) for m in _BASE64.finditer(layer)]
-                        layer, kinds, _, _ = _unescaped(layer, None, None, False)
-                        if not kinds:
-                            break
-                        at = (*at, kinds)
-            except _Unread:
-                found.setdefault(UNREAD, (*path, "base64"))
+            inner, path = work.pop(0)
+            for part in [inner] if isinstance(inner, bytes) else (data for data, _, _ in _readings(inner)):
+                try:
+                    for layer, names in _layers(part):
+                        at = (*path, *names)
+                        while (key := hashlib.sha256(layer.encode("utf-8", "replace")).digest()) not in seen:
+                            seen.add(key)
+                            self.size += len(layer)
+                            if self.size > DOCUMENT_BYTES:
+                                raise _Unread
+                            for _, _, kind in secrets_in(layer):
+                                if len(found.get(kind, at)) >= len(at):
+                                    found[kind] = at
+                            work += [(m[0], at) for m in _BASE64.finditer(layer)]
+                            layer, kinds, _, _ = _unescaped(layer, None, None, False)
+                            if not kinds:
+                                break
+                            at = (*at, kinds)
+                except _Unread:
+                    found.setdefault(UNREAD, (*path, "base64"))
         return found
 
 
@@ -345,12 +392,12 @@ def scan(text: str | None) -> list[tuple[int, int, str, str, int]]:
         for a, b, kind in secrets_in(layer):
             add(_span(a, b, starts, ends), kind, path)
         for m in _BASE64.finditer(layer):
-            a, b = _span(*m.span(), starts, ends)
+            a = _span(*m.span(), starts, ends)[0]
             # a later reading may only add padding, which was escaped
             if (a, m[0].rstrip("=")) not in placed:
                 placed.add((a, m[0].rstrip("=")))
-                for kind, inner in document.stretch(m[0]):
-                    add((a, b), kind, (*path, *inner))
+                for i, j, kind, inner in document.stretch(m[0]):
+                    add(_span(m.start() + i, m.start() + j, starts, ends), kind, (*path, *inner))
         layer, kinds, starts, ends = _unescaped(layer, starts, ends, True)
         if not kinds:
             break

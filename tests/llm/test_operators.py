@@ -360,6 +360,17 @@ def test_layers_are_read_to_their_end(monkeypatch):
     assert sorted({f[2] for f in secret_scan.scan(f"{b64(late)} {b64('key is ' + TOKEN)}")}) == ["github_token", "unread_layer"]
 
 
+def test_wrapped_and_glued_base64_is_read():
+    for n in range(60, 200):
+        inner = base64.encodebytes(b"x" * n + b" " + AWS.encode()).decode().rstrip("\n")
+        assert [(f[0], f[1], f[2]) for f in secret_scan.scan(f"see {inner}\nfollowing: words")][:1] == [(4, 4 + len(inner), "aws_access_key")]
+    for blob in (b64("key is " + AWS), b64(AWS), b64(gzip.compress(("key is " + AWS).encode())), b64(zlib.compress(("key is " + AWS).encode()))):
+        for prefix in ("tok_", "a/", "ab-", "abc_", "xyzw1/"):
+            assert {f[2] for f in secret_scan.scan(f"see {prefix}{blob} there")} == {"aws_access_key"}
+    two = f"tok_{b64('key is ' + AWS + '....')}/x_{b64('key is ' + AWS[:-1] + 'Z')}"
+    assert len(secret_scan.scan(two)) == 2
+
+
 def test_redaction_of_rows(spark):
     df = docs_of(spark, [f"a {AWS} b", "clean", None, ""]).withColumn("kind", F.lit(1))
     rows = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
