@@ -22,6 +22,8 @@ class Dataset:
     quality_metrics: dict[str, float] = field(default_factory=dict)
     schema_version: str | None = None
     seq: str = "_seq"
+    #: The rows (this very frame) and the folder where they stand as JSONL.
+    written: tuple[DataFrame, str] | None = None
 
 
 @dataclass

@@ -13,8 +13,7 @@ def clean_text(df: DataFrame, text: str = "text", min_length: int = 50, max_urls
     """Cleans ``text`` and drops rows it rejects; rows whose text is null pass."""
     if text not in df.columns or not isinstance(df.schema[text].dataType, T.StringType):
         return df
-    cleaned = tx.clean(text, min_length, max_urls, remove_boilerplate)
-    return df.withColumn("__c", cleaned).where(F.col(text).isNull() | F.col("__c").isNotNull()).withColumn(text, F.col("__c")).drop("__c")
+    return tx.kept(df, tx.clean(text, min_length, max_urls, remove_boilerplate), text, also=F.col(text).isNull())
 
 
 def clean_records(df: DataFrame, text: str = "text") -> DataFrame:

@@ -136,12 +136,18 @@ def quarantine(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("_error is null").drop("_error"), marked.where("_error is not null")
 
 
-def collect_messages(df: DataFrame, errors: Column, warnings: Column, seq: str = "_seq", limit: int = 1000) -> Validation:
-    """The messages with their rows' places; at most ``limit`` of each reach the driver."""
+def collect_messages(df: DataFrame, errors: Column, warnings: Column, seq: str = "_seq") -> Validation:
+    """All messages with their rows' places, as a list on the driver, which the result's
+    form demands; ``messages`` gives the same as a table."""
     if df.isEmpty():
         return Validation.of(["there are no rows to validate"])
-    out = []
-    for c in (errors, warnings):
-        rows = df.select(F.col(seq).alias("s"), F.explode(c).alias("m")).orderBy("s").limit(limit).collect()
-        out.append([f"Item at index {r['s']}: {r['m']}" for r in rows])
-    return Validation.of(out[0], out[1])
+    found = messages(df, errors, warnings, seq).orderBy("index", "severity", "message").collect()
+    by = {kind: [f"Item at index {r['index']}: {r['message']}" for r in found if r["severity"] == kind] for kind in ("error", "warning")}
+    return Validation.of(by["error"], by["warning"])
+
+
+def messages(df: DataFrame, errors: Column, warnings: Column, seq: str = "_seq") -> DataFrame:
+    """index, severity, message: one row for each message on a row."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("severity"), m.alias("m")) for k, m in (("error", errors), ("warning", warnings))])
+    one = df.select(F.col(seq).alias("index"), F.explode(kinds).alias("x"))
+    return one.select("index", "x.severity", F.explode("x.m").alias("message"))

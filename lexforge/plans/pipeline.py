@@ -13,7 +13,7 @@ from collections.abc import Callable
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import ngrams
@@ -21,7 +21,7 @@ from lexforge.model import MAX_LABEL, MIN_LABEL, Dataset, QualityConfig, StageRe
 from lexforge.operators import dedup, leakage, quality, transform, validate
 from lexforge.sources import jsonl, manifest
 from lexforge.sources.jsonl import to_dataset
-from lexforge.sources.staging import shared_dir
+from lexforge.sources.staging import shared_dir, staged
 
 
 class StageError(Exception):
@@ -213,12 +213,13 @@ class TextCleaning(Stage):
 
 
 class _Removing(Stage):
-    """Notes how many rows went, if ``count_removed`` allows the two counts."""
+    """Writes what it keeps, once, so that no later stage or gate computes it anew,
+    and notes how many rows went: they are counted as they pass."""
 
-    def _noted(self, data: Dataset, df: DataFrame, key: str) -> Dataset:
-        if not self.config.get("count_removed", True):
-            return self._of(data, df)
-        return self._of(data, df, **{key: data.df.count() - df.count()})
+    def _kept(self, data: Dataset, keep: Callable[[DataFrame], DataFrame], key: str) -> Dataset:
+        seen = Observation()
+        out = staged(keep(data.df.observe(seen, F.count(F.lit(1)).alias("n"))))
+        return self._of(data, out, **{key: seen.get["n"] - out.count()})
 
 
 class ExactDedup(_Removing):
@@ -226,17 +227,21 @@ class ExactDedup(_Removing):
 
     def transform(self, data: Dataset) -> Dataset:
         field = self.config.get("text_field", "text")
-        df = data.df
-        if field not in df.columns:
-            return self._noted(data, df.limit(0), "exact_dedup_removed")
-        if "_keys" in df.columns:
-            df = df.where(F.array_contains("_keys", field))
-        return self._noted(data, dedup.exact_filter(df, field, data.seq), "exact_dedup_removed")
+
+        def keep(df: DataFrame) -> DataFrame:
+            if "_keys" in df.columns:
+                df = df.where(F.array_contains("_keys", field))
+            return dedup.exact_filter(df, field, data.seq)
+
+        if field not in data.df.columns:
+            return self._of(data, data.df.limit(0), exact_dedup_removed=data.df.count())
+        return self._kept(data, keep, "exact_dedup_removed")
 
 
 class SemanticDedup(_Removing):
-    """Uses the column ``embedding_field`` if there is one, else ``embedder``, a
-    function from texts to vectors. Without either it fails."""
+    """Uses the column ``embedding_field`` if there is one, else ``embedder``: a
+    function from texts to vectors, an object with ``encode``, or a model's name,
+    which each Python worker loads once. Without either it fails."""
 
     name = "semantic_dedup"
 
@@ -245,14 +250,16 @@ class SemanticDedup(_Removing):
         df = data.df
         own = vector not in df.columns
         if own:
-            encode: Callable | None = self.config.get("embedder")
+            encode = self.config.get("embedder") or self.config.get("embedding_model")
             if encode is None:
                 raise StageError(f"no column '{vector}' and no embedder")
             df = dedup.embed(df, encode, text, vector)
-        kept = dedup.semantic_filter(df, self.config.get("similarity_threshold", 0.95), self.config.get("use_lsh", True), self.config.get("lsh_bands", 20), vector, data.seq)
+        given = staged(df)  # the vectors are read several times
+        kept = dedup.semantic_filter(given, self.config.get("similarity_threshold", 0.95), self.config.get("use_lsh", True), self.config.get("lsh_bands", 20), vector, data.seq)
         if text in kept.columns:
             kept = dedup.keep_first(kept, F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))), data.seq)
-        return self._noted(data, kept.drop(vector) if own else kept, "semantic_dedup_removed")
+        out = staged(kept.drop(vector) if own else kept)
+        return self._of(data, out, semantic_dedup_removed=given.count() - out.count())
 
 
 class LeakageCheck(Stage):
@@ -306,9 +313,17 @@ class QualityGate(Stage):
 
 
 class _Writing(Stage):
-    def _path(self, data: Dataset) -> str:
-        path = str(self.config.get("output_path") or shared_dir(data.df.sparkSession))
-        return jsonl.write_jsonl(data.df, path)
+    """Rows that were written already, by the stage before, aren't written again."""
+
+    def _written(self, data: Dataset, **metadata) -> tuple[str, Dataset]:
+        path = self.config.get("output_path")
+        if not path and data.written is not None and data.written[0] is data.df:
+            path = data.written[1]
+        else:
+            path = jsonl.write_jsonl(data.df, str(path or shared_dir(data.df.sparkSession)))
+        out = self._of(data, data.df)
+        out.written = (data.df, path)
+        return path, out
 
 
 class ManifestStage(_Writing):
@@ -316,13 +331,14 @@ class ManifestStage(_Writing):
 
     def transform(self, data: Dataset) -> Dataset:
         spark = data.df.sparkSession
-        path = self._path(data)
+        path, out = self._written(data)
         extra = {"quality_report": data.metadata["quality_report"]} if "quality_report" in data.metadata else {}
         made = manifest.build_manifest(
             spark, path, self.config.get("dataset_id"), self.config.get("version"), self.config.get("produced_by", "lexforge"),
             extra | self.config.get("metadata", {}), self.config.get("license_info"), self.config.get("provenance"),
         )
-        return self._of(data, data.df, manifest=made)
+        out.metadata["manifest"] = made
+        return out
 
 
 class VersionStage(_Writing):
@@ -331,8 +347,11 @@ class VersionStage(_Writing):
     def transform(self, data: Dataset) -> Dataset:
         spark = data.df.sparkSession
         store = manifest.FileVersions(spark, self.config.get("metadata_dir") or shared_dir(spark))
-        record = store.create(self._path(data), self.config.get("dataset_name") or "dataset", self.config.get("parent_versions"), self.config.get("encode"), self.config.get("metadata"))
-        return self._of(data, data.df, version=record)
+        path, out = self._written(data)
+        out.metadata["version"] = store.create(
+            path, self.config.get("dataset_name") or "dataset", self.config.get("parent_versions"), self.config.get("encode"), self.config.get("metadata")
+        )
+        return out
 
 
 class Pipeline:
@@ -382,7 +401,7 @@ class _ChunkDedup(_Removing):
 
     def transform(self, data: Dataset) -> Dataset:
         key = F.md5(F.coalesce(F.col(self.config.get("text_field", "text")).cast("string"), F.lit("None")))
-        return self._noted(data, dedup.keep_first(data.df, [F.col("chunk_id"), key], data.seq), "exact_dedup_removed")
+        return self._kept(data, lambda df: dedup.keep_first(df, [F.col("chunk_id"), key], data.seq), "exact_dedup_removed")
 
 
 class Graph:
@@ -435,11 +454,12 @@ def feedback(text_field: str = "text", dataset_id: str = "feedback") -> Pipeline
 
 def production(
     required_fields: list[str] | None = None, text_field: str = "text", eval_texts=None, dataset_id: str = "production", dataset_name: str | None = None,
-    quality_threshold: float = 0.8, semantic_dedup: bool = True, embedder: Callable | None = None, metadata_dir: str | None = None,
+    quality_threshold: float = 0.8, semantic_dedup: bool = True, embedder: Callable | str | None = None, metadata_dir: str | None = None,
+    similarity_threshold: float = 0.95, use_lsh: bool = True,
 ) -> Pipeline:
     stages: list[Stage] = [TextCleaning({"text_field": text_field}), ExactDedup({"text_field": text_field})]
     if semantic_dedup:
-        stages.append(SemanticDedup({"text_field": text_field, "embedder": embedder}))
+        stages.append(SemanticDedup({"text_field": text_field, "embedder": embedder, "similarity_threshold": similarity_threshold, "use_lsh": use_lsh}))
     if eval_texts is not None:
         stages.append(LeakageCheck({"eval_texts": eval_texts, "text_field": text_field}))
     stages += [

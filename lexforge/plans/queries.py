@@ -81,7 +81,7 @@ g AS (SELECT DISTINCT k, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM p)""
 
 @query("text_clean", f"WITH {_CLEANED} SELECT doc_id, text FROM clean")
 def text_clean(spark, d):
-    return spread(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.clean("text").alias("text")).where("text is not null")
+    return tx.kept(spread(_read(spark, d, "documents").select("doc_id", "text")), tx.clean("text"), "text")
 
 
 @query("training_prep", f"WITH {_CLEANED} " + _FIRST.format("clean"))
@@ -359,9 +359,7 @@ UNION ALL SELECT doc_id, 'warning', '''label'' is null' FROM t WHERE label IS NU
 )
 def diagnostics(spark, d):
     df = _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
-    errors, warnings = validate.record_messages(df)
-    both = df.select("doc_id", F.array(F.struct(F.lit("error").alias("severity"), errors.alias("m")), F.struct(F.lit("warning").alias("severity"), warnings.alias("m"))).alias("x"))
-    return both.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.severity", F.explode("x.m").alias("message"))
+    return validate.messages(df, *validate.record_messages(df), "doc_id").withColumnRenamed("index", "doc_id")
 
 
 _TYPES = {"click": 0, "view": 1, "purchase": 2, "signup": 3}

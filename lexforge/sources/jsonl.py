@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -46,7 +45,16 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
         if ":/" not in where and not any(Path(where).rglob("*.jsonl")):
             return spark.createDataFrame([], "_file array<string>, _block long, _line long, value string")
-    rows = reader.text(where).select(
+    return _lines(reader.text(where))
+
+
+def lines_in(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As ``lines_of``, of the files given."""
+    return _lines(spark.read.text(paths))
+
+
+def _lines(text: DataFrame) -> DataFrame:
+    rows = text.select(
         F.split("_metadata.file_path", "/").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"), strip("value").alias("value"),
     )
@@ -97,13 +105,14 @@ def chunked(df: DataFrame, chunk_size: int = 1000, seq: str = "_seq") -> DataFra
 
 def write_jsonl(df: DataFrame, path: str) -> str:
     """A folder of ``*.jsonl`` files, one JSON object a line, nulls kept; replaces what is there."""
-    df.drop("_seq", "_keys").write.mode("overwrite").option("ignoreNullFields", "false").json(str(path))
-    system, root = fs.FileSystem.from_uri(str(path)) if ":/" in str(path) else (fs.LocalFileSystem(), str(path))
-    for f in system.get_file_info(fs.FileSelector(root)):
-        if f.base_name.endswith(".json"):  # a reader of JSONL looks for the other ending
-            system.move(f.path, f.path + "l")
-        elif f.base_name.endswith(".json.crc"):
-            system.delete_file(f.path)
+    rows = df.drop("_seq", "_keys")
+    line = F.to_json(F.struct(*[f"`{c}`" for c in rows.columns]), {"ignoreNullFields": "false"}) if rows.columns else F.lit("{}")
+    # The one text format whose files' ending can be chosen, with nothing quoted or
+    # escaped (JSON text has no control characters): no file is renamed afterwards.
+    (
+        rows.select(line.alias("value")).write.mode("overwrite").format("csv")
+        .options(extension="jsonl", sep="\u0001", quote="", escape="\u0002", header=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).save(str(path))
+    )
     return str(path)
 
 
@@ -125,8 +134,8 @@ def to_dataset(data, spark: SparkSession | None = None) -> Dataset:
     if isinstance(data, Dataset):
         return data
     if isinstance(data, DataFrame):
-        df = data if "_seq" in data.columns else data.withColumn("_seq", F.monotonically_increasing_id())
-        return Dataset(df)
+        # numbered once and written: numbers given anew could change after a shuffle
+        return Dataset(data if "_seq" in data.columns else staged(data.withColumn("_seq", F.monotonically_increasing_id())))
     if hasattr(data, "data"):
         return to_dataset(data.data, spark)
     if isinstance(data, dict):

@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.sources.jsonl import lines_of, with_seq
+from lexforge.sources.jsonl import lines_in, lines_of
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -64,11 +64,28 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def _variants(spark: SparkSession, path: str) -> DataFrame:
-    """(_seq, v) of each valid JSON line of a JSONL file or folder."""
+    """(_file, _block, _line, value, v) of each valid JSON line of a JSONL file or folder."""
     if not (str(path).endswith(".jsonl") or any(f.path.endswith(".jsonl") for f in files_of(path))):
-        return spark.sql("SELECT 0L AS _seq, '0' AS value, parse_json('0') AS v WHERE false")
-    lines = with_seq(lines_of(spark, path), "_file", "_block", "_line")
-    return lines.select("_seq", "value", F.try_parse_json("value").alias("v")).where("v is not null")
+        return spark.sql("SELECT array('') AS _file, 0L AS _block, 0L AS _line, '0' AS value, parse_json('0') AS v WHERE false")
+    return lines_of(spark, path).select("_file", "_block", "_line", "value", F.try_parse_json("value").alias("v")).where("v is not null")
+
+
+def _head(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """(at, value, v) of the first ``rows`` objects in order. Files are read from the
+    first on, twice as many each time, until there are enough."""
+    names = [f.path for f in files_of(path) if f.path.endswith(".jsonl")]
+    scheme = f"{str(path).split('://')[0]}://" if "://" in str(path) else ""
+    order = ("_file", "_block", "_line")
+    many = 1
+    while True:
+        part = [scheme + n for n in names[:many]]
+        lines = (lines_in(spark, part) if part else _variants(spark, path)).where(F.json_object_keys("value").isNotNull())
+        found = lines.select(*order, "value").orderBy(*order).limit(rows).collect()
+        if len(found) >= rows or many >= len(names):
+            break
+        many *= 2
+    held = spark.createDataFrame([(i, r["value"]) for i, r in enumerate(found)], "at long, value string")
+    return held.select("at", "value", F.parse_json("value").alias("v"))
 
 
 _TYPES = {"BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool", "STRING": "str", "VOID": "NoneType"}
@@ -83,13 +100,12 @@ def _type_name(schema):
 
 def _fields(spark: SparkSession, path: str, rows: int) -> DataFrame:
     """(name, value) of each key of the first ``rows`` objects."""
-    objects = _variants(spark, path).where(F.json_object_keys("value").isNotNull()).orderBy("_seq").limit(rows)
-    return objects.select("_seq", F.explode(F.col("v").cast("map<string,variant>")).alias("name", "value"))
+    return _head(spark, path, rows).select("at", F.explode(F.col("v").cast("map<string,variant>")).alias("name", "value"))
 
 
 def infer_schema(spark: SparkSession, path: str, max_rows: int = 100) -> dict[str, Any]:
     """Field names with the sorted names of their values' types."""
-    rows = _fields(spark, path, max_rows).groupBy("name").agg(F.sort_array(F.collect_set(_type_name(F.schema_of_variant("value")))).alias("types"), F.min("_seq").alias("s")).orderBy("s", "name").collect()
+    rows = _fields(spark, path, max_rows).groupBy("name").agg(F.sort_array(F.collect_set(_type_name(F.schema_of_variant("value")))).alias("types"), F.min("at").alias("s")).orderBy("s", "name").collect()
     return {"fields": {r["name"]: r["types"] for r in rows}, "format": "jsonl"} if rows else {"fields": {}, "format": "unknown"}
 
 

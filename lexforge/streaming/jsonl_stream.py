@@ -22,7 +22,7 @@ def read_stream(spark: SparkSession, folder: str, schema: str = "text string", f
 
 
 def cleaned(stream: DataFrame, text: str = "text", min_length: int = 50, max_urls: int = 5) -> DataFrame:
-    return stream.withColumn(text, tx.clean(text, min_length, max_urls)).where(F.col(text).isNotNull())
+    return tx.kept(stream, tx.clean(text, min_length, max_urls), text)
 
 
 def distinct_texts(stream: DataFrame, text: str = "text", within: str | None = None) -> DataFrame:

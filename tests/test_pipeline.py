@@ -163,7 +163,9 @@ def test_quality(spark):
     data = [{"text": "hello", "label": 1, "id": str(i), "created_at": f"2026-0{i}-01"} for i in range(1, 6)]
     report = quality.check(data, as_of=now)
     assert {"completeness", "timeliness", "accuracy", "integrity", "consistency", "uniqueness"} <= set(report.dimension_scores)
-    assert report.dimension_scores["timeliness"] == 0.0 and 0 <= report.overall_score <= 1
+    assert report.dimension_scores["timeliness"] == 1.0 and 0 <= report.overall_score <= 1
+    dated = [{k if k != "created_at" else "created_date": v for k, v in r.items()} for r in data]
+    assert quality.check(dated, as_of=now).dimension_scores["timeliness"] == 0.0
     future = quality.check([{"updated": "2026-06-16"}], as_of=now).dimension_scores["timeliness"]
     assert future == 1.5
     assert quality.check([{"updated": "never"}], as_of=now).dimension_scores["timeliness"] == 0.0
