@@ -11,7 +11,8 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``.
+    """A new folder's path below ``spark.checkpoint.dir``, deleted when the session's
+    process ends.
 
     Only where that setting is absent, in a local session as in tests, does a
     temporary folder of this machine stand in for it.
@@ -23,7 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="shared-"))
         base = _own[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    system, where = _hadoop(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -31,7 +40,16 @@ def staged(df: DataFrame) -> DataFrame:
     is cut, and a lost executor costs nothing that was computed before."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more."""
+    for t in tables:
+        system, where = _hadoop(t.sparkSession, t.staged_at)
+        system.delete(where, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
