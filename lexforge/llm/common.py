@@ -1,14 +1,14 @@
-"""What the operators of this subpackage share: tables, staging, sizes."""
+"""What the operators of this subpackage share: tables, sizes."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.sources.staging import drop, shared_dir, staged, unused
+
+__all__ = ["BROADCAST_ROWS", "drop", "shared_dir", "sized", "staged", "table", "unused"]
+
 #: Rows up to which a table of ids is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -17,46 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is absent (a local session, as in tests) is it set,
-    to a temporary folder of this machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = tempfile.mkdtemp(prefix="shared-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the shared folder and read again: lineage
-    is cut, and a lost executor costs nothing that was computed before."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, made longer until no column of ``df`` has it in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def sized(ids: DataFrame, limit: int | None = None) -> DataFrame:
     """``ids`` (a staged table), with a broadcast hint if it is small."""
     return F.broadcast(ids) if ids.count() <= (BROADCAST_ROWS if limit is None else limit) else ids
-
-
-def local_path(uri: str) -> str:
-    return uri[len("file://") :] if uri.startswith("file://") else uri[len("file:") :] if uri.startswith("file:") else uri
-
-
-def is_local(uri: str) -> bool:
-    return uri.startswith(("file:", "/")) or not os.path.splitdrive(uri)[0] and "://" not in uri

@@ -10,17 +10,19 @@ on these documents, a byte parse falls out of step after an edit (near copies
 have a median similarity of 0.56, unrelated texts of one language up to 0.45),
 while a parse by words falls into step again (0.89, and below 0.2).
 
-Each document is a query: bands of the signature give candidates (linear in the
-documents, see ``groups.star_candidates``), their signatures are compared in
-full, and the most similar candidate at or above the threshold is the match. In
-a large group that need not be the most similar of all its members.
-
-Defined cases: null and empty texts, and those without words, have no phrases, an empty signature and no
-match. Documents with the same phrase set match with similarity 1: all but the
-one with the smallest doc_id point to it, and it points to the next. Equal
-similarities go to the smallest doc_id. A row with a null doc_id is given with
-its fingerprint, and may have a match, but is nobody's match. Repeated rows are
-given as often as they come. Other columns are not used. Whole texts are parsed.
+Documents with the same phrase set are one class, named by its smallest doc_id. All
+pairs of classes that share a band of the signature are compared in full (see
+``groups.Candidates``); those whose similarity reaches the threshold are links. A
+document is given with its class, the number of documents in it, the number of its
+links to other classes, and the most similar one of these. A pair of similarity 0.6,
+the threshold, shares no band in 4 cases of 100, one of 0.7 in 2 of 1,000.
+
+Defined cases: null and empty texts, and those without words, have no phrases, no
+fingerprint, signature or class, and no links. Equal similarities go to the smallest
+class. A null doc_id names no class: a class of such rows only has a null class_id,
+and is a link of others but nobody's match. Repeated rows are given as often as they
+come, and count as copies. An empty table gives no rows. Other columns are not used,
+whatever their names. Whole texts are parsed, of any length.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import staged, table
-from .groups import MinHash, fingerprint, star_candidates
+from .common import drop, staged, table
+from .groups import Candidates, MinHash, fingerprint
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 BANDS, ROWS = 24, 4
@@ -84,49 +86,46 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = phrase_set(h[first[i] : first[i + 1]])
             n = int(first[i + 1] - first[i])
             if not len(p):
-                rows.append((0, 0, None, [], None))
+                rows.append((0, 0, None, None))
                 continue
-            s = hasher.signature(p)
-            rows.append((n, len(p), fingerprint(p), s.astype(np.int64), hasher.band_keys(s)))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            rows.append((n, len(p), fingerprint(p), hasher.short(hasher.signature(p))))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         cols = [batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_phrases", "node", "signature", "bands"])
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_phrases", "node", "sig"])
+
+
+def _similar(threshold: float):
+    """Pairs of signatures with enough equal minima, and the share of these."""
+    def keep(sa: np.ndarray, sb: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        share = (sa == sb).mean(axis=1) if len(sa) else np.zeros(0)
+        at = np.flatnonzero(share >= threshold)
+        return at, share[at]
+
+    return keep
 
 
 def fingerprints(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_phrases, fingerprint, signature, match_id, similarity."""
+    """doc_id, n_words, n_phrases, fingerprint (hexadecimal), signature (base64 of
+    ``BANDS * ROWS`` minima of sixteen bits), class_id, n_copies, n_links, match_id
+    (the class most similar to it), similarity."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(plain.mapInArrow(_sketch, "doc_id long, n_words long, n_phrases long, node binary, signature array<long>, bands array<long>"))
-    found = rows.where("node is not null")
+    rows = staged(plain.mapInArrow(_sketch, "doc_id long, n_words long, n_phrases long, node binary, sig binary"))
     nodes = staged(
-        found.groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.first("signature").alias("sig"), F.first("bands").alias("bands"),
-            F.array_sort(F.collect_set("doc_id")).alias("ids"),
-        ).select("node", "rep", "sig", "bands", F.get("ids", F.lit(1)).alias("second"))
-    )
-    sig = nodes.where("rep is not null").select("node", "rep", "sig")
-    any_sig = nodes.select("node", "sig")
-    pairs = star_candidates(nodes, ROWS)
-    both = (
-        pairs.join(any_sig.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(any_sig.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
-        .select("u", "v", (F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda e: e)) / (BANDS * ROWS)).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+        rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
+        .select(F.monotonically_increasing_id().alias("nid"), "node", "class_id", "n_copies", "sig", F.lit(0).cast("long").alias("weight"))
     )
-    near = staged(both)
-    ways = near.select(F.col("u").alias("node"), F.col("v").alias("other"), "similarity").union(near.select("v", "u", "similarity"))
-    best = (
-        ways.join(sig.select(F.col("node").alias("other"), F.col("rep").alias("other_id")), "other")
-        .groupBy("node").agg(F.max(F.struct("similarity", (-F.col("other_id")).alias("minus"))).alias("b"))
-        .select("node", F.col("b.similarity").alias("near_similarity"), (-F.col("b.minus")).alias("near_id"))
+    near = Candidates(nodes, BANDS, ROWS, _similar(threshold)).pairs()
+    ways = near.select(F.col("u").alias("nid"), F.col("v").alias("other"), "value").union(near.select("v", "u", "value"))
+    named = nodes.select(F.col("nid").alias("other"), F.col("class_id").alias("other_id"))
+    best = ways.join(named, "other").groupBy("nid").agg(
+        F.count("*").alias("n_links"),
+        F.max(F.when(F.col("other_id").isNotNull(), F.struct("value", (-F.col("other_id")).alias("minus")))).alias("b"),
     )
-    twins = nodes.select("node", "rep", "second").join(best, "node", "left")
-    joined = rows.join(twins, "node", "left")
-    # the one that stands for an equal set points to the next; the others point to it
-    twin = F.when(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("rep")), F.col("rep")).otherwise(F.col("second"))
-    return joined.select(
-        "doc_id", "n_words", "n_phrases", F.hex("node").alias("fingerprint"), "signature",
-        F.coalesce(twin, F.col("near_id")).alias("match_id"),
-        F.when(twin.isNotNull(), F.lit(1.0)).otherwise(F.round("near_similarity", 6)).alias("similarity"),
+    classes = staged(nodes.join(best, "nid", "left").select("node", "class_id", "n_copies", "n_links", (-F.col("b.minus")).alias("match_id"), F.col("b.value").alias("value")))
+    drop(nodes, near)
+    return rows.join(classes, "node", "left").select(
+        "doc_id", "n_words", "n_phrases", F.hex("node").alias("fingerprint"), F.base64("sig").alias("signature"), "class_id",
+        F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "match_id", F.round("value", 6).alias("similarity"),
     )
 
 

@@ -103,32 +103,53 @@ def groups_of(pairs):
     return {x: find(x) for x in root}
 
 
-def test_pairs_are_those_of_brute_force(spark, varied):
-    truth = jaccard_truth(varied)
-    got = {(r["doc_a"], r["doc_b"]): r for r in jaccard_join.jaccard_pairs(docs_of(spark, varied)).collect()}
-    assert all(abs(truth[p] - r["jaccard"]) < 1e-5 for p, r in got.items())
-    sets = [frozenset(gram_set(t)) for t in varied]
+def classes_truth(texts, threshold=0.5):
+    """doc -> (class, copies, links, group), and the links of classes, all by brute force."""
+    truth, sets = jaccard_truth(texts, threshold), [frozenset(gram_set(t)) for t in texts]
     first = {s: i for i, s in reversed(list(enumerate(sets)))}
-    # pairs of the documents that stand for their sets, and each other one with its own
-    wanted = {p for p in truth if (first[sets[p[0]]] == p[0] and first[sets[p[1]]] == p[1]) or (sets[p[0]] == sets[p[1]] and first[sets[p[0]]] == p[0])}
-    assert len(set(got) & wanted) >= 0.9 * len(wanted) and set(got) <= wanted
-    whole = groups_of(truth)
-    assert groups_of(got) == whole
-    assert all(r["group_id"] == whole[r["doc_a"]] for r in got.values())
-
-
-def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    links = {(a, b): j for (a, b), j in truth.items() if first[sets[a]] == a and first[sets[b]] == b and sets[a] != sets[b]}
+    root, out = groups_of(truth), {}
+    for i, s in enumerate(sets):
+        c = first[s]
+        out[i] = (c, sets.count(s), sum(c in p for p in links), root.get(i, i)) if s else (None, 0, 0, None)
+    return out, links
+
+
+def test_classes_and_links_are_those_of_brute_force(spark, varied):
+    want, links = classes_truth(varied)
+    got = jaccard_join.classes(docs_of(spark, varied)).collect()
+    assert len(got) == len(varied)
+    assert {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"], r["group_id"]) for r in got} == want
+    pairs = {(r["class_a"], r["class_b"]): r["jaccard"] for r in jaccard_join.Join(docs_of(spark, varied)).links().collect()}
+    assert set(pairs) == set(links) and all(abs(pairs[p] - links[p]) < 1e-5 for p in links)
+
+
+@pytest.mark.parametrize("spelled, block, cell", [(48, 1024, 512), (4, 8, 4)])
+def test_large_buckets_and_groups_are_compared_in_blocks(spark, monkeypatch, spelled, block, cell):
+    monkeypatch.setattr(groups, "SPELLED", spelled)
+    monkeypatch.setattr(groups, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
     rng = random.Random(5)
     base = prose(rng, 60).split()
     texts = []
-    for _ in range(30):
+    for _ in range(40):
         w = list(base)
         w[rng.randrange(60)] = rng.choice(WORDS)
         w[rng.randrange(60)] = rng.choice(WORDS)
         texts.append(" ".join(w))
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard_join.jaccard_pairs(docs_of(spark, texts)).collect()}
-    assert got == set(jaccard_truth(texts)) and len(got) > 400
+    # a passage that many have but that makes none of them alike
+    passage = prose(rng, 40)
+    texts += [passage + " " + prose(rng, 70) for _ in range(60)]
+    want, links = classes_truth(texts)
+    got = {(r["class_a"], r["class_b"]) for r in jaccard_join.Join(docs_of(spark, texts)).links().collect()}
+    assert got == set(links) and len(got) > 600
+
+
+def test_classes_of_odd_rows(spark):
+    df = docs_of(spark, ["a b c d", "a b c d", "a b c d", None, "", "a b c d e"], [None, 3, 3, 1, None, None])
+    df = df.withColumns({"class_id": F.lit("x"), "node": F.lit(1)})
+    got = sorted(((r["doc_id"], r["class_id"], r["n_copies"], r["n_links"], r["group_id"]) for r in jaccard_join.classes(df).collect()), key=str)
+    assert got == sorted([(None, 3, 3, 1, 3), (3, 3, 3, 1, 3), (3, 3, 3, 1, 3), (1, None, 0, 0, None), (None, None, 0, 0, None), (None, None, 1, 1, 3)], key=str)
 
 
 def test_one_of_each_group_stays(spark, varied):
@@ -148,7 +169,7 @@ def test_keep_one_with_repeated_and_null_ids(spark):
 
 def test_join_of_nothing(spark):
     empty = docs_of(spark, [])
-    assert jaccard_join.jaccard_pairs(empty).collect() == [] and jaccard_join.keep_one(empty).collect() == []
+    assert jaccard_join.classes(empty).collect() == [] and jaccard_join.keep_one(empty).collect() == []
 
 
 def test_clashing_columns_pass_through(spark):
@@ -160,8 +181,8 @@ def test_clashing_columns_pass_through(spark):
 def test_bayes_pruning_keeps_likely_pairs():
     rng = np.random.default_rng(0)
     for jaccard, least, most in ((0.7, 0.97, 1.0), (0.5, 0.9, 1.0), (0.1, 0.0, 0.05)):
-        a = rng.integers(0, 256, (4000, 96), dtype=np.uint8)
-        b = np.where(rng.random((4000, 96)) < jaccard, a, rng.integers(0, 256, (4000, 96), dtype=np.uint8))
+        a = rng.integers(0, 65536, (4000, 96), dtype=np.uint16)
+        b = np.where(rng.random((4000, 96)) < jaccard, a, rng.integers(0, 65536, (4000, 96), dtype=np.uint16))
         assert least <= groups.bayes_keep(a, b, 0.5, 0.01).mean() <= most
 
 
@@ -427,31 +448,41 @@ def test_phrases_tile_the_words(varied):
             at = e
 
 
-def test_matches_are_near_those_of_brute_force(spark, varied):
+def test_links_are_those_of_all_signatures(spark, varied, monkeypatch):
+    monkeypatch.setattr(groups, "SPELLED", 3)
     rows = {r["doc_id"]: r for r in lz_fingerprint.fingerprints(docs_of(spark, varied)).collect()}
     assert len(rows) == len(varied)
-    sig = {d: np.array(r["signature"]) for d, r in rows.items() if r["n_phrases"]}
-    near = hit = 0
-    for d, s in sig.items():
-        best = max(((s == t).mean() for e, t in sig.items() if e != d), default=0)
-        if best >= lz_fingerprint.THRESHOLD:
-            near += 1
-            hit += rows[d]["match_id"] is not None and rows[d]["similarity"] >= lz_fingerprint.THRESHOLD
-        else:
-            assert rows[d]["match_id"] is None
-        if rows[d]["match_id"] is not None:
-            assert abs((s == sig[rows[d]["match_id"]]).mean() - rows[d]["similarity"]) < 1e-5
-    assert near > 30 and hit >= 0.9 * near
-    assert rows[0]["similarity"] == 1.0
+    sig = {d: np.frombuffer(base64.b64decode(r["signature"]), ">u2") for d, r in rows.items() if r["n_phrases"]}
+    sets = {d: frozenset(tuple(x) for x in lz_phrases(varied[d])) for d in sig}
+    first = {s: d for d, s in sorted(sets.items(), reverse=True)}
+    wanted = found = 0
+    for d in sig:
+        c = first[sets[d]]
+        others = {e: (sig[c] == sig[e]).mean() for e in set(first.values()) - {c}}
+        near = {e: x for e, x in others.items() if x >= lz_fingerprint.THRESHOLD}
+        r = rows[d]
+        assert (r["class_id"], r["n_copies"]) == (c, list(sets.values()).count(sets[d])) and r["n_links"] <= len(near)
+        wanted, found = wanted + len(near), found + r["n_links"]
+        if r["n_links"] == len(near) and near:
+            assert (r["similarity"], r["match_id"]) == (round(max(near.values()), 6), min(e for e, x in near.items() if x == max(near.values())))
+        if not near:
+            assert r["match_id"] is None
+    assert wanted > 60 and found >= 0.97 * wanted
     for d in range(len(varied)):
         if not textarrays.py_words(varied[d]):
-            assert (rows[d]["n_phrases"], rows[d]["match_id"]) == (0, None)
+            assert (rows[d]["n_phrases"], rows[d]["class_id"], rows[d]["n_links"]) == (0, None, 0)
+
+
+def lz_phrases(text):
+    words = textarrays.py_words(text)
+    ends = lz_fingerprint.phrase_ends(words)
+    return [words[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def test_fingerprints_of_odd_rows(spark):
     df = docs_of(spark, ["a b c d", "a b c d", "a b c d", None], [None, 3, 3, 1])
-    got = sorted(((r["doc_id"], r["match_id"]) for r in lz_fingerprint.fingerprints(df.withColumn("node", F.lit(1))).collect()), key=str)
-    assert got == sorted([(None, 3), (3, None), (3, None), (1, None)], key=str)
+    got = sorted(((r["doc_id"], r["class_id"], r["n_copies"], r["match_id"]) for r in lz_fingerprint.fingerprints(df.withColumns({"node": F.lit(1), "sig": F.lit(2)})).collect()), key=str)
+    assert got == sorted([(None, 3, 3, None), (3, 3, 3, None), (3, 3, 3, None), (1, None, 0, None)], key=str)
     assert lz_fingerprint.fingerprints(docs_of(spark, [])).collect() == []
 
 
