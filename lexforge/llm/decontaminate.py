@@ -4,21 +4,25 @@ A seed is the hash of the words that a fixed mask selects from a window; words
 at the mask's gaps don't count, so a substituted word there leaves the seed as
 it was. Seeds of all benchmark items are looked up at every word of every
 document. Each hit fixes a diagonal (document position minus item position);
-along it the words are compared one by one, from the hit outwards over the whole
-item, and the best-scoring stretch (match +1, mismatch -1.5) is taken. It is a
-leak if it has ``min_words`` words or the item's whole length, and ``identity``
-of them agree.
+along it the words are compared one by one over the whole item, and every stretch
+that begins and ends with an agreeing word counts: it is a leak if it has
+``min_words`` words or the item's whole length, and ``identity`` of them agree. Of
+these the longest is reported.
 
 The benchmark's seeds are held by every Python worker while they are at most
-``held_seeds``; a larger benchmark is joined by shuffling seeds, and documents
-that have one are then compared with the items hit. Both ways give the same rows.
+``held_seeds``. A larger benchmark is joined by shuffling seeds; then only the texts
+that have a seed in common with an item are fetched and compared with it. Whether a
+document leaks depends on its text alone, so both ways give the same rows.
 
 Defined cases: null or empty texts have no words and leak nothing; items with
 fewer than ``LEAST_WORDS`` words are no evidence and never match; shorter items
-than a mask's span are seeded by their whole length. Rows with null ids are
-reported with null ids. Repeated rows give repeated results, one for each
-document row and distinct item row. Other columns pass through ``clean_rows``
-unchanged. Texts of any length are hashed whole.
+than a mask's span are seeded by their whole length. Rows with null ids are judged
+by their text like others, and reported with null ids. Of a document's equal
+stretches with an item (as many words, as many agreeing) the first is reported.
+Repeated rows give repeated results, one for each document row and distinct item
+row. An empty benchmark leaks nowhere, an empty table gives no rows. Other columns
+pass through ``clean_rows`` unchanged, whatever their names. Texts of any length are
+hashed whole.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import staged, table, unused
+from .common import sized, staged, table, unused
 
 #: Six selected words each; between them any single substitution, and one at
 #: every third, fourth, fifth or sixth word, leaves a seed intact.
@@ -39,7 +43,6 @@ MASKS = ("111111", "11011011", "1110111", "1111011", "11100111", "101101011")
 MIN_WORDS = 10
 IDENTITY = 0.75
 LEAST_WORDS = 4
-MISMATCH = 1.5
 HELD_SEEDS = 4_000_000
 
 _U = np.uint64
@@ -111,14 +114,25 @@ class Index:
         return tuple(np.concatenate([o[j] for o in out]) for j in range(3))  # type: ignore[return-value]
 
 
-def best_stretch(same: np.ndarray, hit: int | None = None) -> tuple[int, int]:
-    """The run [a, b) with the greatest sum of +1 for a match and -MISMATCH else."""
-    score = np.where(same, 1.0, -MISMATCH)
-    total = np.concatenate(([0.0], np.cumsum(score)))
-    low = np.minimum.accumulate(total)
-    b = int(np.argmax(total - low))
-    a = int(np.flatnonzero(total[: b + 1] == low[b])[-1])
-    return a, b
+def longest_stretch(same: np.ndarray, least: int, identity: float) -> tuple[int, int] | None:
+    """The longest run [a, b) of at least ``least`` words, the first and last of them
+    agreeing, of which the share ``identity`` agrees; the first of equal ones."""
+    begins = np.flatnonzero(same)
+    if not len(begins):
+        return None
+    # a run qualifies if the sum of (agrees - identity) over it isn't negative
+    total = np.concatenate(([0.0], np.cumsum(same - identity)))
+    at = total[begins]
+    # only a begin with a lower total than all before it can give the longest run
+    lowest = np.concatenate(([True], at[1:] < np.minimum.accumulate(at)[:-1]))
+    starts, x = begins[lowest], at[lowest]
+    ends = begins + 1
+    # the greatest total at an end from here on, which only falls
+    reach = np.maximum.accumulate(total[ends][::-1])[::-1]
+    last = np.searchsorted(-reach, -(x - 1e-9), "right") - 1
+    length = np.where(last >= 0, ends[np.maximum(last, 0)] - starts, 0)
+    k = int(np.argmax(length))
+    return (int(starts[k]), int(starts[k] + length[k])) if length[k] >= least else None
 
 
 def verify(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int, identity: float) -> tuple[int, int, int] | None:
@@ -127,11 +141,8 @@ def verify(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int, identi
     if b <= a:
         return None
     same = item[a:b] == doc[a + shift : b + shift]
-    x, y = best_stretch(same)
-    n, agree = y - x, int(same[x:y].sum())
-    if n >= min(min_words, len(item)) and agree >= identity * n:
-        return a + x + shift, n, agree
-    return None
+    run = longest_stretch(same, min(min_words, len(item)), identity)
+    return run and (a + run[0] + shift, run[1] - run[0], int(same[run[0] : run[1]].sum()))
 
 
 def leaks_in(h: np.ndarray, index: Index, min_words: int, identity: float) -> list[tuple[int, int, int, int]]:
@@ -142,7 +153,7 @@ def leaks_in(h: np.ndarray, index: Index, min_words: int, identity: float) -> li
     diagonals = np.unique(np.stack([item, at - place], axis=1), axis=0)
     best: dict[int, tuple[int, int, int]] = {}
     for i, shift in diagonals.tolist():
-        if (v := verify(h, index.items[i], shift, min_words, identity)) and (i not in best or (v[2], -v[0]) > (best[i][2], -best[i][0])):
+        if (v := verify(h, index.items[i], shift, min_words, identity)) and (i not in best or (v[1], v[2], -v[0]) > (best[i][1], best[i][2], -best[i][0])):
             best[i] = v
     return [(i, *v) for i, v in sorted(best.items())]
 
@@ -182,39 +193,40 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _seed_rows(lengths: list[int], of_items: bool):
-    """mapInArrow: id, words (hashes) and the distinct seeds of each text."""
+    """mapInArrow: the key of each text with its distinct seeds."""
     masks = _masks_for(set(lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in ta.iter_texts(batches):
             h, first, _, _ = ta.hashed(texts)
-            words, found = [], []
+            found = []
             for i in range(len(texts)):
                 own = h[first[i] : first[i + 1]]
                 use = [
                     (k, m) for k, m in enumerate(masks)
                     if not of_items or (len(own) >= LEAST_WORDS and (k < len(MASKS) or len(own) == len(m)))
                 ]
-                words.append(own.view(np.int64))
                 found.append(np.unique(np.concatenate([np.zeros(0, np.uint64)] + [seeds(own, m, k) for k, m in use])).view(np.int64))
-            cols = [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "seeds"])
 
     return run
 
 
 def _pair_leaks(min_words: int, identity: float):
-    """mapInArrow over document words and the words of an item with a common seed."""
+    """mapInArrow over texts with the text of an item that has a seed in common."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in range(b.num_rows):
-                doc, item = (np.asarray(b.column(k)[r].values, dtype=np.int64).view(np.uint64) for k in (1, 3))
-                one = Index.__new__(Index)
-                _one(one, item)
-                for _, at, n, agree in leaks_in(doc, one, min_words, identity):
-                    rows.append((b.column(0)[r].as_py(), b.column(2)[r].as_py(), at, n, agree))
-            yield _batch(rows)
+        for batch in batches:
+            for b, texts in ta.iter_texts([batch]):
+                doc, first, _, _ = ta.hashed(texts)
+                item, begin, _, _ = ta.hashed(b.column(4).cast(pa.large_string()))
+                rows = []
+                for r in range(b.num_rows):
+                    one = Index.__new__(Index)
+                    _one(one, item[begin[r] : begin[r + 1]])
+                    for _, at, n, agree in leaks_in(doc[first[r] : first[r + 1]], one, min_words, identity):
+                        rows.append((b.column(0)[r].as_py(), b.column(1)[r].as_py(), b.column(3)[r].as_py(), at, n, agree))
+                found = _batch([x[1:] for x in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), *found.columns], names=["key", *found.schema.names])
 
     return run
 
@@ -251,38 +263,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, ide
     if index is not None:
         shared = docs.sparkSession.sparkContext.broadcast(index)
         return plain.mapInArrow(_scan(shared, min_words, identity, False), _COLUMNS)
-    # the seeds are shuffled; xxhash tells rows with the same id apart
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text")).distinct()
-    spaces = r"[0-9A-Za-z\x{80}-\x{10ffff}]+"
-    short = items.select(F.regexp_count(F.lower("text"), F.lit(spaces)).alias("n")).where(F.col("n") < max(map(len, MASKS))).distinct().collect()
-    lengths = [r[0] for r in short]
-    schema = "id long, row long, words array<long>, seeds array<long>"
-    own = staged(items.mapInArrow(_seed_rows(lengths, True), schema))
-    text = plain.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text")
-    of_docs = staged(text.mapInArrow(_seed_rows(lengths, False), schema))
-    pairs = (
-        of_docs.select(F.col("row").alias("d"), F.explode("seeds").alias("seed"))
-        .join(own.select(F.col("id").alias("item"), F.col("row").alias("irow"), F.explode("seeds").alias("seed")), "seed")
-        .select("d", "item", "irow").distinct()
+    return _shuffled(plain, benchmark, min_words, identity).drop("key")
+
+
+def _key(text: str = "text"):
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
+def _shuffled(plain: DataFrame, benchmark: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """The leaks into ``plain`` (id, text), with the key of each leaking text."""
+    items = staged(
+        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).where("item is not null").distinct()
+        .withColumn("at", F.monotonically_increasing_id())
     )
-    both = (
-        pairs.join(of_docs.select(F.col("row").alias("d"), F.col("id").alias("doc"), F.col("words").alias("dw")), "d")
-        .join(own.select(F.col("id").alias("iid"), F.col("row").alias("irow"), F.col("words").alias("iw")), "irow")
-        .where(F.col("iid").eqNullSafe(F.col("item")))
+    words = r"[0-9A-Za-z\x{80}-\x{10ffff}]+"
+    short = items.select(F.regexp_count(F.lower("item"), F.lit(words)).alias("n")).where(F.col("n") < max(map(len, MASKS))).distinct().collect()
+    lengths = [r[0] for r in short]
+    own = items.select("at", F.col("item").alias("text")).mapInArrow(_seed_rows(lengths, True), "key long, seeds array<long>")
+    texts = plain.where("text is not null").select(_key().alias("key"), "text").mapInArrow(_seed_rows(lengths, False), "key binary, seeds array<long>")
+    pairs = staged(
+        texts.select("key", F.explode("seeds").alias("seed"))
+        .join(own.select(F.col("key").alias("at"), F.explode("seeds").alias("seed")), "seed").select("key", "at").distinct()
     )
-    return both.select("doc", "dw", "item", "iw").mapInArrow(_pair_leaks(min_words, identity), _COLUMNS)
+    both = plain.where("text is not null").select(_key().alias("key"), "id", "text").join(sized(pairs), "key").join(items, "at")
+    return both.select("key", "id", "text", "item_id", "item").mapInArrow(_pair_leaks(min_words, identity), "key binary, " + _COLUMNS)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, held_seeds: int = HELD_SEEDS) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks. Rows with a null id are
-    judged by their own text where the benchmark is held, and kept otherwise."""
+    """The rows of ``docs`` into which no item leaks, each judged by its text."""
     index = _held(benchmark, held_seeds)
     if index is not None:
         shared = docs.sparkSession.sparkContext.broadcast(index)
         return docs.mapInArrow(_scan(shared, min_words, identity, True), docs.schema)
     leak = unused(docs, "leak")
-    found = staged(leaks(docs, benchmark, min_words, identity, held_seeds).select(F.col("doc_id").alias(leak)).distinct())
-    return docs.join(found, F.col("doc_id") == F.col(leak), "left_anti")
+    plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    found = staged(_shuffled(plain, benchmark, min_words, identity).select(F.col("key").alias(leak)).distinct())
+    return docs.join(sized(found), _key() == F.col(leak), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
