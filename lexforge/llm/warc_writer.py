@@ -2,23 +2,27 @@
 
 Each page becomes one response record, compressed as a gzip member of its own;
 headers, lengths, digests and record ids are made anew from the content, so they
-depend on nothing else. Records are sorted by (url, page_id, record id). A
-prefix sum of compressed sizes in that order gives each record's global start,
-and a file takes the records that start within its ``TARGET`` bytes: files roll
-by compressed size, alike for any partitioning. Records are compressed once,
-into a staged table; sizes alone decide the files; then members go to their
-files in one shuffle and are written in order.
+depend on nothing else. Records are sorted by (url, page_id, record id); those alike
+in all three are alike in every byte, so that their order makes no difference. A
+prefix sum of compressed sizes in that order gives each record's global start, and a
+file takes the records that start within its ``TARGET`` bytes: files roll by
+compressed size, alike for any partitioning. Records are compressed once, into a
+staged table; a range sort of keys and sizes alone decides the files. Members then go
+to their writers in one shuffle, each of which writes a run of whole files of about
+``RUN`` bytes in order; only the first key of each run is held by the driver.
 
 A file is written under a temporary name of its own and then renamed, so a task
 that is lost or runs twice leaves the same file or none. Last, the manifest
-(files, sizes, digests, records) is written the same way: a folder is complete
-if and only if it has ``manifest.json``.
+(files, sizes, digests, records) is written the same way. A manifest that is there
+already goes first, and files that the new one doesn't name go before it comes: a
+folder is complete if and only if it has ``manifest.json``, and has nothing else.
 
 Defined cases: a null html is an empty page; a null url has no target header and
 sorts as the empty string; a null page_id sorts before others. Repeated rows are
-written as often as they come, with equal record ids. Control characters in URLs
-are percent-encoded. An empty table has a manifest without files. Other columns
-are not used. A page longer than ``TARGET`` is one record of its own file.
+written as often as they come, with equal record ids, and may part between files.
+Control characters in URLs are percent-encoded. An empty table has a manifest without
+files. Other columns are not used, whatever their names. A page longer than
+``TARGET`` is one record of its own file.
 """
 
 from __future__ import annotations
@@ -37,18 +41,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, table
+from .common import drop, shared_dir, staged, table
 
 TARGET = 32 << 20
+#: Compressed bytes that one task writes.
+RUN = 2 * TARGET
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
-#: Rows of the light table for which there is a range.
-RANGE_ROWS = 1_000_000
-_NAMES = ["page_id", "url", "record_id", "digest", "size", "member"]
+_NAMES = ["page_id", "url", "record", "digest", "size", "member"]
 
 
 def _sha1(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return _named(hashlib.sha1(data).digest())
+
+
+def _named(digest: bytes) -> str:
+    return "sha1:" + base64.b32encode(digest).decode()
 
 
 def _member(data: bytes) -> bytes:
@@ -92,22 +100,19 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page_id, url, html in zip(*(c.to_pylist() for c in part.columns)):
                 record_id, digest, data = record(page_id, url, html)
                 member = _member(data)
-                rows.append((record_id, digest, len(member), member))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.binary()]
+                # both as bytes: text would be a large part of what is staged and shuffled
+                rows.append((uuid.UUID(record_id).bytes, base64.b32decode(digest[5:]), len(member), member))
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=_NAMES)
 
 
-def _key(url: str | None, page_id: int | None, record_id: str) -> tuple[bytes, int, str]:
-    return (url or "").encode(), -(2**63) if page_id is None else page_id, record_id
-
-
-def _shards(first: list[tuple]):
-    """mapInArrow: adds to each record the file that it belongs to."""
+def _runs(first: list[tuple]):
+    """mapInArrow over (key columns, row): adds the run that each record belongs to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2).to_pylist())
-            shard = [bisect.bisect_right(first, _key(*k)) - 1 for k in keys]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int64())], names=[*_NAMES, "shard"])
+            keys = zip(*(b.column(k).to_pylist() for k in ("u", "p", "record", "at")))
+            at = [bisect.bisect_right(first, (u.encode(), *rest)) - 1 for u, *rest in keys]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*b.schema.names, "run"])
 
     return run
 
@@ -116,11 +121,11 @@ def file_name(shard: int) -> str:
     return f"pages-{shard:08d}.warc.gz"
 
 
-def _write(folder: str):
-    """mapInArrow over records sorted by (shard, key): writes the files, gives the index."""
+def _write(folder: str, starts: list[int], target: int):
+    """mapInArrow over records sorted by (run, key): writes the files, gives the index."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
-        shard, out, offset, temporary, digest = None, None, 0, "", hashlib.sha256()
+        own, at, shard, out, offset, temporary, digest = None, 0, None, None, 0, "", hashlib.sha256()
         done: list[tuple] = []
 
         def finish() -> None:
@@ -136,10 +141,12 @@ def _write(folder: str):
 
         for batch in batches:
             rows = []
-            for page_id, url, record_id, payload, _, member, at in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != shard:
+            for this, page_id, url, record_id, payload, member in zip(*(c.to_pylist() for c in batch.columns)):
+                if this != own:
+                    own, at = this, starts[this]
+                if at // target != shard:
                     finish()
-                    shard, digest = at, hashlib.sha256()
+                    shard, digest = at // target, hashlib.sha256()
                     temporary = f"{root}/_temporary-{file_name(shard)}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(temporary, compression=None)
                     head = info(file_name(shard))
@@ -148,8 +155,9 @@ def _write(folder: str):
                     offset = len(head)
                 out.write(member)
                 digest.update(member)
-                rows.append((page_id, url, record_id, payload, file_name(shard), shard, offset, len(member)))
+                rows.append((page_id, url, str(uuid.UUID(bytes=record_id)), _named(payload), file_name(shard), shard, offset, len(member)))
                 offset += len(member)
+                at += len(member)
             yield index(rows)
         finish()
         if done:
@@ -158,42 +166,60 @@ def _write(folder: str):
     return run
 
 
-def write(pages: DataFrame, folder: str, target: int = TARGET) -> DataFrame:
+def _placed(light: DataFrame, target: int, run_bytes: int) -> tuple[list[tuple], list[int]]:
+    """The first key of each run of files and its global start, from keys and sizes."""
+    total = light.agg(F.sum("size")).first()[0]
+    if not total:
+        return [], []
+    runs = -(-total // run_bytes)
+    ranged = staged(light.repartitionByRange(runs, "u", "p", "record", "at").withColumn("range", F.spark_partition_id()))
+    sums = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("n")).collect())
+    spark = light.sparkSession
+    starts, at = [], 0
+    for k, n in sums:
+        starts.append((k, at))
+        at += n
+    base = spark.createDataFrame(starts, "range int, base long")
+    within = Window.partitionBy("range").orderBy("u", "p", "record", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.join(F.broadcast(base), "range").withColumn("start", F.col("base") + F.sum("size").over(within) - F.col("size"))
+    # a file begins in the range that has its first record; the first of those that
+    # begin in a range begins the run
+    files = placed.groupBy(F.floor(F.col("start") / target).alias("file")).agg(F.min("start").alias("start"), F.min_by(F.struct("range", "u", "p", "record", "at"), "start").alias("k"))
+    heads = files.groupBy("k.range").agg(F.min("start").alias("start"), F.min_by("k", "start").alias("k")).orderBy("start").collect()
+    drop(ranged)
+    return [(h["k"]["u"].encode(), h["k"]["p"], bytes(h["k"]["record"]), h["k"]["at"]) for h in heads], [h["start"] for h in heads]
+
+
+def write(pages: DataFrame, folder: str, target: int = TARGET, run_bytes: int | None = None) -> DataFrame:
     """Writes the files and the manifest below ``folder``; gives the index: page_id,
     url, record_id, digest (of the payload), file, offset and length of the member."""
-    spark = pages.sparkSession
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    members = staged(plain.mapInArrow(_records, "page_id long, url string, record_id string, digest string, size long, member binary"))
-    url, page = F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-(2**63)))
-    light = members.select(url.alias("u"), page.alias("p"), F.col("record_id").alias("r"), "size")
-    ranges = max(1, light.count() // RANGE_ROWS + 1)
-    light = staged(light.repartitionByRange(ranges, "u", "p", "r").withColumn("range", F.spark_partition_id()))
-    sums = dict(light.groupBy("range").agg(F.sum("size")).collect())
-    starts, total = {}, 0
-    for k in sorted(sums):
-        starts[k], total = total, total + sums[k]
-    base = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)]) if starts else F.lit(None)
+    members = staged(
+        plain.mapInArrow(_records, "page_id long, url string, record binary, digest binary, size long, member binary").withColumn("at", F.monotonically_increasing_id())
+    )
+    key = (F.coalesce("url", F.lit("")).alias("u"), F.coalesce("page_id", F.lit(-(2**63))).alias("p"), "record", "at")
+    first, starts = _placed(members.select(*key, "size"), target, run_bytes or max(RUN, 2 * target))
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    first: list[tuple] = []
-    if starts:
-        within = Window.partitionBy("range").orderBy("u", "p", "r")
-        begin = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-        placed = light.withColumn("start", begin + F.element_at(base, F.col("range"))).withColumn("shard", F.floor(F.col("start") / target))
-        # rows that are alike in the key are alike in size: they may part only as a whole
-        heads = placed.groupBy("shard").agg(F.min(F.struct(F.col("u").cast("binary").alias("b"), "p", "r")).alias("k")).orderBy("shard").collect()
-        first = sorted({(bytes(h["k"]["b"]), h["k"]["p"], h["k"]["r"]) for h in heads})
+    if system.get_file_info(f"{root}/manifest.json").type != fs.FileType.NotFound:
+        system.delete_file(f"{root}/manifest.json")
+    keyed = members.select("page_id", "url", "digest", "member", *key)
+    names = keyed.schema.simpleString()[7:-1].replace(":", " ")
     schema = "page_id long, url string, record_id string, digest string, file string, shard long, offset long, length long"
     rows = staged(
-        members.mapInArrow(_shards(first), f"{members.schema.simpleString()[7:-1].replace(':', ' ')}, shard long")
-        .repartition(max(1, len(first)), "shard").sortWithinPartitions("shard", url, page, "record_id")
-        .mapInArrow(_write(folder), schema)
+        keyed.mapInArrow(_runs(first), f"{names}, run int").repartitionById(max(1, len(first)), "run").sortWithinPartitions("run", "u", "p", "record", "at")
+        .select("run", "page_id", "url", "record", "digest", "member").mapInArrow(_write(folder, starts, target), schema)
     )
+    drop(members)
     files = rows.where("record_id is null").orderBy("shard").collect()
     manifest = {
         "files": [{"name": f["file"], "bytes": f["length"], "sha256": f["digest"]} for f in files],
         "records": rows.where("record_id is not null").count(),
     }
+    named = {f["file"] for f in files}
+    for f in system.get_file_info(fs.FileSelector(root)):
+        if f.base_name not in named and f.base_name.startswith(("pages-", "_temporary-")):
+            system.delete_file(f.path)
     _commit(system, f"{root}/manifest.json", json.dumps(manifest, indent=1).encode())
     return rows.where("record_id is not null").drop("shard")
 
