@@ -11,14 +11,17 @@ values of one page. Lines of the upper cluster are the content.
 Defined cases: a null page has null content and no lines; an empty page, or one
 without visible text, has empty content; if all smoothed values are equal, all
 lines are content. Broken markup is read as browsers' leniency in the parser
-allows; unclosed scripts hide what follows, as in the parser. A row with a null
-page_id or url is extracted like others. Repeated rows are repeated. Other
-columns are not used. Whole pages are parsed.
+allows; unclosed scripts hide what follows, as in the parser; what stands after a
+page's last ">" is text. A row with a null page_id or url is extracted like others.
+Equal lines are each kept or not by their surroundings. Repeated rows are repeated.
+An empty table gives no rows. Other columns are not used, whatever their names.
+Whole pages are parsed, of any length, in time that grows with their length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -48,6 +51,30 @@ class LineEvents(HTMLParser):
         self._parts: list[str] = []
         self._n = 0
         self._hidden: list[str] = []
+        self._unclosed: set[str] = set()
+
+    def read(self, page: str) -> None:
+        """A whole page. No tag can end after the last ">", so the rest isn't searched for
+        one again and again, and an end that a comment or section lacks is looked for once."""
+        cut = page.rfind(">") + 1
+        self.feed(page[:cut])
+        super().close()
+        self.handle_data(unescape(page[cut:]))
+        self._end_line()
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self._once("comment", super().parse_comment, i, report)
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        return self._once(self.rawdata[i : i + 5], super().parse_marked_section, i, report)
+
+    def _once(self, kind: str, parse, i: int, report: bool) -> int:
+        if kind in self._unclosed:
+            return -1
+        end = parse(i, report)
+        if end < 0:
+            self._unclosed.add(kind)
+        return end
 
     def _end_line(self) -> None:
         text = " ".join("".join(self._parts).split())
@@ -90,10 +117,6 @@ class LineEvents(HTMLParser):
             self._end_line()
             self._parts.append(line)
 
-    def close(self) -> None:
-        super().close()
-        self._end_line()
-
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
     """Gaussian mean over neighbouring lines; at the ends over those that exist."""
@@ -122,8 +145,7 @@ def extract(page: str | None) -> tuple[str | None, int, int]:
     if page is None:
         return None, 0, 0
     events = LineEvents()
-    events.feed(page)
-    events.close()
+    events.read(page)
     if not any(events.texts):
         return "", len(events.texts), 0
     chars = np.array([len(t) for t in events.texts], float)
