@@ -8,21 +8,32 @@ P_k = (count(context byte) + LAMBDA * P_(k-1)) / (count(context) + LAMBDA).
 A URL's score is the difference of the two log-likelihoods divided by its
 length; below the cut-off it is filtered.
 
-Counts are taken over all URLs, one pass with a sum per slot: n-grams are hashed
-to ``2 ** BITS`` slots a model, so what is broadcast has one size whatever the
-corpus. The cut-off is calibrated over all labelled URLs, each scored with one
-occurrence of its own n-grams taken out of its own model: the score at which the
+What a byte adds to a score depends on its *window* only, the byte and the five
+before it, six bytes that are one exact number. Windows are counted over all
+URLs, by class; the table of distinct windows grows with the corpus and stays
+distributed. Both models' values are worked out in it by groups of windows with the
+same two bytes before the last: all contexts of two and more bytes are in one group,
+and counts of pairs of bytes, at most 65,536, are held. Scores are sums over windows:
+the ``HEAD`` most frequent windows, which nearly all URLs share, are broadcast (their
+number is fixed), the others are joined by shuffle, where none is frequent.
+
+The cut-off is calibrated over all labelled URLs, each scored with one
+occurrence of its own windows taken out of its own model: the score at which the
 mean of both classes' error rates is least, among those that lose at most
 ``MAX_LOST`` of the accepted.
 
 Labels come from ``labels`` (url, accepted), or else from seed words in the host
 (``SEEDS``): such a URL is an example of a rejected one, any other of an accepted
-one.
+one. Then the models never see a seed word: it is cut out of every URL before
+counting and scoring, so that they learn what else goes with it, not the list.
 
 Defined cases: a null or empty URL has a null score and is not accepted; if
 either class has no example, every other URL is accepted, with a score of 0.
 Null labels are not used. Repeated rows count as often as they come and get the
-same score. Other columns are not used. Whole URLs are read, of any length.
+same score. Scores equal to the cut-off are accepted; of equally good cut-offs the
+middle one is taken. An empty table gives no rows. Other columns are not used,
+whatever their names. Whole URLs are read, of any length; control characters count
+as one.
 """
 
 from __future__ import annotations
@@ -34,118 +45,115 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .textarrays import blocks, mix
+from .common import drop, staged, table
+from .textarrays import blocks
 
 ORDER = 5
 LAMBDA = 2.0
-BITS = 21
 MAX_LOST = 0.01
+HEAD = 100_000
 SEEDS = ("casino", "bets", "pills", "spam", "adult", "ads-track", "viagra", "porn", "poker", "payday")
-_U = np.uint64
-_T = np.random.Generator(np.random.PCG64(31)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_STEP = _U(0x9E3779B97F4A7C15)
-_START, _END = b"\x02", b"\x03"
+_START, _END, _CONTROL = b"\x02", b"\x03", b"\x04"
+_CLEAN = bytes.maketrans(bytes(range(4)), _CONTROL * 4)
 _BIN = 0.01
 _BINS = 4000
 
 
-def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the n-grams that end at each byte, by order (columns); how many
-    bytes each has before it in its URL; and which URL it is of."""
+def windows(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The window of each byte of each URL and of its end, and which URL it is of.
+
+    The last six bytes as one number, the last one lowest; zero where there are none.
+    """
     lengths = np.array([len(u) + 2 for u in urls], np.int64)
-    data = np.frombuffer(b"".join(_START + u + _END for u in urls), np.uint8)
+    data = np.frombuffer(b"".join(_START + u.translate(_CLEAN) + _END for u in urls), np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(urls)), lengths)
     depth = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    slots = np.zeros((len(data), ORDER + 1), np.int64)
-    window = np.zeros(len(data), np.uint64)
-    power = _T[:1] * _U(0) + _U(1)
-    for k in range(ORDER + 1):
-        window[k:] += _T[data[: len(data) - k]] * power
-        power = power * _STEP
-        slots[:, k] = (mix(window + _U(k)) >> _U(64 - BITS)).astype(np.int64)
-    return slots, depth, owner
-
-
-def count(urls: list[bytes]) -> np.ndarray:
-    """Occurrences by slot."""
-    slots, depth, _ = grams(urls)
-    return np.bincount(slots[depth[:, None] >= np.arange(ORDER + 1)], minlength=1 << BITS)
-
-
-def likelihoods(counts: np.ndarray, total: int, slots: np.ndarray, depth: np.ndarray, leave_out: bool = False) -> np.ndarray:
-    """log P of each byte (0 for the start marks)."""
-    less = 1 if leave_out else 0
-    p = np.full(len(depth), 1 / 256)
-    for k in range(ORDER + 1):
-        gram = np.maximum(counts[slots[:, k]] - less, 0)
-        if k:
-            context = np.zeros(len(depth), np.int64)
-            context[1:] = counts[slots[:-1, k - 1]]
-        else:
-            context = np.full(len(depth), total)
-        context = np.maximum(context - less, gram)
-        p = np.where(depth >= max(k, 1), (gram + LAMBDA * p) / (context + LAMBDA), p)
-    return np.where(depth > 0, np.log(p), 0.0)
-
-
-def scores(urls: list[bytes], accepted: np.ndarray, rejected: np.ndarray, totals: tuple[int, int], own: str = "") -> np.ndarray:
-    """Difference of the log-likelihoods by byte; ``own`` names the model to leave a URL out of."""
-    slots, depth, owner = grams(urls)
-    diff = likelihoods(accepted, totals[0], slots, depth, own == "accepted") - likelihoods(rejected, totals[1], slots, depth, own == "rejected")
-    return np.bincount(owner, diff, minlength=len(urls)) / np.array([len(u) + 1 for u in urls])
-
-
-def _bytes(urls: pa.Array) -> Iterator[list[bytes]]:
+    out = data.copy()
+    for j in range(1, ORDER + 1):
+        out[j:] += np.where(depth[j:] >= j, data[:-j] << (8 * j), 0)
+    scored = depth > 0
+    return out[scored], owner[scored]
+
+
+def _grouped(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``counts`` over the rows with its key."""
+    _, at = np.unique(key, return_inverse=True)
+    total = np.zeros((at.max() + 1 if len(at) else 0, counts.shape[1]))
+    np.add.at(total, at, counts)
+    return total[at]
+
+
+def values(window: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each window adds to a score: log P accepted - log P rejected; the same with
+    one occurrence taken out of the accepted, and out of the rejected.
+
+    ``window`` holds all windows with the same two bytes before the last, ``counts``
+    their occurrences by class (columns), ``pairs`` (256, 256, 2) those of each two bytes.
+    """
+    last, before = window & 255, (window >> 8) & 255
+    ways = []
+    for less in (0, 1):
+        p = np.full((len(window), 2), 1 / 256)
+        for k in range(ORDER + 1):
+            if k == 0:
+                gram, context = pairs.sum(axis=0)[last], np.broadcast_to(pairs.sum(axis=(0, 1)), p.shape)
+            elif k == 1:
+                gram, context = pairs[before, last], pairs.sum(axis=1)[before]
+            else:
+                gram = _grouped(window & ((1 << (8 * (k + 1))) - 1), counts)
+                context = _grouped((window >> 8) & ((1 << (8 * k)) - 1), counts)
+            there = ((window >> (8 * k)) & 255 != 0)[:, None]
+            p = np.where(there, (np.maximum(gram - less, 0) + LAMBDA * p) / (np.maximum(context - less, 0) + LAMBDA), p)
+        ways.append(np.log(p))
+    whole, less = ways
+    return whole[:, 0] - whole[:, 1], less[:, 0] - whole[:, 1], whole[:, 0] - less[:, 1]
+
+
+def _bytes(urls: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     for a, b in blocks(urls.cast(pa.large_string()), 1 << 18):
-        yield [u.lower().encode() for u in urls.slice(a, b - a).to_pylist()]
+        yield a, [u.encode() for u in urls.slice(a, b - a).to_pylist()]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = {True: np.zeros(1 << BITS, np.int64), False: np.zeros(1 << BITS, np.int64)}
-    some = False
+    """mapInArrow over (view, label): windows with their occurrences by class, and in all."""
     for batch in batches:
-        for label in (True, False):
-            for urls in _bytes(batch.column(0).filter(pa.array([x is label for x in batch.column(1).to_pylist()]))):
-                if urls:
-                    held[label] += count(urls)
-                    some = True
-    if some:
-        for label, counts in held.items():
-            slot = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(slot), pa.bool_()), pa.array(slot), pa.array(counts[slot])], names=["label", "slot", "n"])
-
-
-def _calibrate(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accepted, rejected, totals = shared.value
-        bins = {True: np.zeros(_BINS, np.int64), False: np.zeros(_BINS, np.int64)}
-        for batch in batches:
-            for label, name in ((True, "accepted"), (False, "rejected")):
-                for urls in _bytes(batch.column(0).filter(pa.array([x is label for x in batch.column(1).to_pylist()]))):
-                    if urls:
-                        s = scores(urls, accepted, rejected, totals, name)
-                        bins[label] += np.bincount(np.clip(np.floor(s / _BIN) + _BINS // 2, 0, _BINS - 1).astype(np.int64), minlength=_BINS)
-        for label, n in bins.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.bool_()), pa.array(at), pa.array(n[at])], names=["label", "bin", "n"])
+        label = np.array([2 if x is None else x for x in batch.column(1).to_pylist()], np.int64)
+        for a, urls in _bytes(batch.column(0)):
+            w, owner = windows(urls)
+            own, at = np.unique(w, return_inverse=True)
+            kind = label[a + owner]
+            counts = [np.bincount(at[x], minlength=len(own)) for x in (kind == 1, kind == 0, kind >= 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, counts)], names=["w", "accepted", "rejected", "n"])
+
+
+def _valued(pairs: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        w = table.column("w").to_numpy()
+        counts = np.stack([table.column(c).to_numpy() for c in ("accepted", "rejected")], axis=1).astype(float)
+        return pa.table({"w": w, "n": table.column("n"), **dict(zip(("whole", "less_a", "less_r"), values(w, counts, pairs)))})
 
     return run
 
 
-def _score(shared, cut: float):
+def _sums(shared):
+    """mapInArrow over (at, view, label): bytes, sums over the held windows, the other windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accepted, rejected, totals = shared.value
+        head, held = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            there = [i for i, u in enumerate(texts) if u]
-            found: list[float | None] = [None] * len(texts)
-            at = iter(there)
-            for urls in _bytes(batch.column(1).take(pa.array(there, pa.int64()))):
-                for s in scores(urls, accepted, rejected, totals).tolist():
-                    found[next(at)] = round(s, 6)
-            cols = [batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array([s is not None and s >= cut for s in found])]
-            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "score", "accepted"])
+            label = batch.column(2).to_pylist()
+            way = np.array([0 if x is None else 1 if x else 2 for x in label], np.int64)
+            out: list[list] = [[], [], [], []]
+            for a, urls in _bytes(batch.column(1)):
+                w, owner = windows(urls)
+                at = np.minimum(np.searchsorted(head, w), max(0, len(head) - 1))
+                known = head[at] == w if len(head) else np.zeros(len(w), bool)
+                for k, which in ((1, np.zeros(len(owner), np.int64)), (2, way[a + owner])):
+                    out[k] += np.bincount(owner[known], held[at[known], which[known]], minlength=len(urls)).tolist()
+                out[0] += [len(u) + 1 for u in urls]
+                rest = np.split(w[~known], np.cumsum(np.bincount(owner[~known], minlength=len(urls)))[:-1])
+                out[3] += [r.tolist() for r in rest]
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["at", "label", "n", "s", "own", "rest"])
 
     return run
 
@@ -159,7 +167,7 @@ def seed_label(url: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, max_lost: float = MAX_LOST) -> float:
-    """The lowest of the best cut-offs, from the classes' histograms of scores."""
+    """The middle one of the best cut-offs, from the classes' histograms of scores."""
     lost = np.concatenate(([0], np.cumsum(good))) / max(1, good.sum())
     kept = 1 - np.concatenate(([0], np.cumsum(bad))) / max(1, bad.sum())
     error = np.where(lost <= max_lost, lost + kept, np.inf)
@@ -167,31 +175,51 @@ def best_cut(good: np.ndarray, bad: np.ndarray, max_lost: float = MAX_LOST) -> f
     return float((same[len(same) // 2] - _BINS // 2) * _BIN)
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame | None = None, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame | None = None, seeds: tuple[str, ...] = SEEDS, head: int = HEAD) -> DataFrame:
     """page_id, url, score, accepted."""
+    spark = pages.sparkSession
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    known = (
-        plain.select("url", seed_label(F.col("url"), seeds).alias("label"))
-        if labels is None
-        else labels.select(F.col("url").cast("string").alias("url"), F.col("accepted").cast("boolean").alias("label"))
-    ).where("url <> '' and label is not null")
-    sums = known.mapInArrow(_count, "label boolean, slot long, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = {True: np.zeros(1 << BITS, np.int64), False: np.zeros(1 << BITS, np.int64)}
-    label = sums.column("label").to_numpy(zero_copy_only=False).astype(bool)
-    slot, n = sums.column("slot").to_numpy(), sums.column("n").to_numpy()
-    for x in counts:
-        counts[x][slot[label == x]] = n[label == x]
-    if not (label.any() and (~label).any()):
-        there = F.length("url") > 0
-        return plain.select("page_id", "url", F.when(there, F.lit(0.0)).alias("score"), F.coalesce(there, F.lit(False)).alias("accepted"))
-    # each byte is the end of one n-gram of order 0
-    zero = np.unique(grams([bytes([b]) for b in range(256)])[0][:, 0])
-    totals = (int(counts[True][zero].sum()), int(counts[False][zero].sum()))
-    shared = pages.sparkSession.sparkContext.broadcast((counts[True], counts[False], totals))
+    view = F.lower("url")
+    if labels is None:
+        view = F.regexp_replace(view, "|".join(seeds).replace(".", r"\."), "")
+        rows = plain.select("page_id", "url", view.alias("view"), seed_label(F.col("url"), seeds).alias("label"), F.lit(True).alias("asked"))
+    else:
+        given = labels.select(F.col("url").cast("string").alias("url"), F.col("accepted").cast("boolean").alias("label")).where("url <> '' and label is not null")
+        rows = plain.select("page_id", "url", view.alias("view"), F.lit(None).cast("boolean").alias("label"), F.lit(True).alias("asked")).union(
+            given.select(F.lit(None).cast("long"), "url", view, "label", F.lit(False))
+        )
+    rows = staged(rows.withColumn("at", F.monotonically_increasing_id()))
+    there = rows.where("url <> ''")
+    found = staged(
+        there.select("view", "label").mapInArrow(_count, "w long, accepted long, rejected long, n long")
+        .groupBy("w").agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected", "n")])
+    )
+    pairs = np.zeros((256, 256, 2))
+    for r in found.groupBy(F.col("w").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).collect():
+        pairs[r["k"] >> 8, r["k"] & 255] = r["a"], r["r"]
+    if not pairs.sum(axis=(0, 1)).all():
+        known = F.coalesce(F.length("url") > 0, F.lit(False))
+        return rows.where("asked").select("page_id", "url", F.when(known, F.lit(0.0)).alias("score"), known.alias("accepted"))
+    worth = staged(
+        found.groupBy(F.shiftright("w", 8).bitwiseAND(F.lit(0xFFFF)).alias("context")).applyInArrow(_valued(pairs), "w long, n long, whole double, less_a double, less_r double")
+    )
+    top = worth.orderBy(F.desc("n"), "w").limit(head).select("w", "whole", "less_a", "less_r").toArrow().sort_by("w")
+    held = spark.sparkContext.broadcast((top.column("w").to_numpy(), np.stack([top.column(c).to_numpy() for c in ("whole", "less_a", "less_r")], axis=1)))
+    part = staged(there.select("at", "view", "label").mapInArrow(_sums(held), "at long, label boolean, n long, s double, own double, rest array<long>"))
+    tail = part.select("at", "label", F.explode("rest").alias("w")).join(worth, "w")
+    own = F.when(F.col("label").isNull(), F.col("whole")).when(F.col("label"), F.col("less_a")).otherwise(F.col("less_r"))
+    added = tail.groupBy("at").agg(F.sum("whole").alias("s2"), F.sum(own).alias("own2"))
+    total = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n")
+    scored = staged(part.join(added, "at", "left").select("at", "label", total("s", "s2").alias("score"), total("own", "own2").alias("own")))
     bins = {True: np.zeros(_BINS, np.int64), False: np.zeros(_BINS, np.int64)}
-    for r in known.mapInArrow(_calibrate(shared), "label boolean, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect():
+    at = F.least(F.greatest(F.floor(F.col("own") / _BIN) + _BINS // 2, F.lit(0)), F.lit(_BINS - 1))
+    for r in scored.where("label is not null").groupBy("label", at.alias("bin")).agg(F.count("*").alias("n")).collect():
         bins[r["label"]][r["bin"]] = r["n"]
-    return plain.mapInArrow(_score(shared, best_cut(bins[True], bins[False])), "page_id long, url string, score double, accepted boolean")
+    cut = best_cut(bins[True], bins[False])
+    drop(found, worth, part)
+    return rows.where("asked").join(scored.select("at", "score"), "at", "left").select(
+        "page_id", "url", F.round("score", 6).alias("score"), F.coalesce(F.col("score") >= cut, F.lit(False)).alias("accepted")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
