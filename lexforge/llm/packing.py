@@ -6,17 +6,22 @@ or with ``tokenizer`` (a file for the ``tokenizers`` library) an id of its
 vocabulary, ``separator`` being an id too. A window has its boundary records:
 which tokens of which document are where in it.
 
-Two passes: the first sums the tokens of each *bucket*, a range of doc_ids, and
-a prefix sum over buckets gives each one's global offset; the second sends each
-document to its bucket (one shuffle of the texts), where it is cut in order.
-A window that starts in one bucket and ends in a later one is cut by the first;
-the few documents it needs from there are sent along as boundary records, picked
-by a light pass over lengths. So windows don't depend on the partitioning.
+Two passes: the first range-sorts the documents' keys and lengths alone, and a prefix
+sum over the token totals of its partitions gives each partition's global offset; the
+second sends each document to its partition's range (one shuffle of the texts, each
+range one task), where it is cut in order. A window that starts in one range and ends
+in a later one is cut by the first; the few documents it needs from there are sent
+along as boundary records, picked by a light pass over lengths. So windows don't
+depend on the partitioning. There are at most ``MAX_RANGES`` ranges: their bounds and
+offsets, which the driver and the workers hold, are some megabytes however much text
+there is.
 
 Defined cases: a null text is an empty document, which has only its separator;
-rows with a null doc_id come last, ordered by their text; rows with the same
-doc_id are ordered by text; repeated rows are packed each time. The last window
-may be short. An empty table has no windows. Other columns are not used.
+rows with a null doc_id come last; rows with the same doc_id, or null, are ordered by
+the md5 of their text, and are spread over ranges by it; repeated rows are packed each
+time, in one task if they are alike in both. A document longer than a window fills
+several. The last window may be short. An empty table has no windows. Other columns
+are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +29,18 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import sized, staged, table
+from .common import drop, sized, staged, table
 
 WINDOW = 2048
 SEPARATOR = "\x1e"
-#: Characters of text for which there is a bucket.
-BUCKET_CHARS = 8_000_000
+#: Tokens for which there is a range (more, if there would be too many), and ranges.
+RANGE_TOKENS, MAX_RANGES = 8_000_000, 100_000
 _LAST = 2**63 - 1
 
 _BOUNDS = "array<struct<doc_id: long, doc_from: long, doc_to: long, at: long>>"
@@ -55,23 +61,29 @@ def _counter(tokenizer: str):
     return run
 
 
-def _bucket_of(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds are at most ``key``, by halving."""
-    def part(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(key < bounds[mid], part(a, mid)).otherwise(part(mid + 1, b))
+def _range_of(bounds: list[tuple[int, bytes]]):
+    """A vectorised function: the range of each (key, tie), from the first of each range."""
+    keys = np.array([k for k, _ in bounds], np.int64)
+    ties = [t for _, t in bounds]
 
-    return part(0, len(bounds)) if len(bounds) <= 256 else F.size(F.filter(F.lit(bounds), lambda x: x <= key))
+    @F.pandas_udf("int")
+    def run(key: pd.Series, tie: pd.Series) -> pd.Series:
+        own = key.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        at = np.maximum(high - 1, 0)
+        for i in np.flatnonzero(low < high):  # a bound has this very key
+            at[i] = max(0, bisect.bisect_right(ties, bytes(tie.iloc[i]), int(low[i]), int(high[i])) - 1)
+        return pd.Series(at.astype(np.int32))
+
+    return run
 
 
 def _cut(starts: list[int], window: int, separator, is_text: bool):
-    """mapInArrow over rows sorted by (bucket, key, text): the windows of each bucket."""
+    """mapInArrow over rows sorted by (range, key, tie): the windows of each range."""
     total = starts[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, at, held, bounds, size = None, 0, [], [], 0
+        own, at, held, bounds, size = None, 0, [], [], 0
         out: list[tuple] = []
         ready = 0
 
@@ -91,16 +103,16 @@ def _cut(starts: list[int], window: int, separator, is_text: bool):
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for b, doc, body in zip(cols[0], cols[1], cols[2]):
-                if b != bucket:
+                if b != own:
                     if size and at == total:
                         close()
-                    # a window left open here ends in no bucket after this one: it can't be
-                    bucket, at, held, bounds, size = b, starts[b], [], [], 0
+                    # a window left open here ends in no range after this one: it can't be
+                    own, at, held, bounds, size = b, starts[b], [], [], 0
                     first = -(-starts[b] // window) * window
                     stop = -(-starts[b + 1] // window) * window  # end of the last window that starts here
                 body = (body or "") + separator if is_text else [*(body or []), separator]
                 n, i = len(body), 0
-                if at < first:  # the head belongs to a window of an earlier bucket
+                if at < first:  # the head belongs to a window of an earlier range
                     i = min(n, first - at)
                     at += i
                 while i < n and at < stop:
@@ -124,7 +136,7 @@ def _cut(starts: list[int], window: int, separator, is_text: bool):
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, separator: str | int | None = None, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, separator: str | int | None = None, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """window_id, n_tokens, tokens, boundaries(doc_id, doc_from, doc_to, at).
 
     ``doc_from`` and ``doc_to`` count tokens of the document, its separator
@@ -141,40 +153,37 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, se
     schema = f"window_id long, n_tokens long, tokens {kind}, boundaries {_BOUNDS}"
     spark = docs.sparkSession
     key = F.coalesce("doc_id", F.lit(_LAST))
-    # the order among equal keys, without carrying texts in the light pass
-    light = staged(plain.select(key.alias("key"), F.sha2("text", 256).alias("tie"), length.cast("long").alias("n")))
-    facts = light.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
-    if not facts["rows"]:
+    tie = F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("tie")
+    light = staged(plain.select(key.alias("key"), tie, length.cast("long").alias("n")))
+    total = light.agg(F.sum("n")).first()[0]
+    if not total:
         return spark.createDataFrame([], schema)
-    buckets = max(1, facts["n"] // bucket_chars)
-    bounds = []
-    if buckets > 1:
-        cuts = light.agg(F.percentile_approx("key", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(100_000)).alias("q")).first()["q"]
-        bounds = sorted(set(cuts))
-    placed = light.withColumn("bucket", _bucket_of(bounds, F.col("key")))
-    sums = dict(placed.groupBy("bucket").agg(F.sum("n")).collect())
+    ranges = -(-total // max(range_tokens, -(-total // MAX_RANGES)))
+    placed = staged(light.repartitionByRange(ranges, "key", "tie").withColumn("range", F.spark_partition_id()))
+    drop(light)
+    # ranges without rows are left out, the others numbered in order
+    found = placed.groupBy("range").agg(F.sum("n").alias("n"), F.min(F.struct("key", "tie")).alias("first")).orderBy("range").collect()
+    number = spark.createDataFrame([(r["range"], i) for i, r in enumerate(found)], "range int, at int")
+    placed = placed.join(F.broadcast(number), "range").drop("range").withColumnRenamed("at", "range")
     starts = [0]
-    for b in range(len(bounds) + 1):
-        starts.append(starts[-1] + sums.get(b, 0))
-    # boundary records: the documents at a bucket's head that an earlier window needs
-    owner = {}
-    for b in range(1, len(bounds) + 1):
-        if starts[b] % window and sums.get(b):
-            owner[b] = bisect.bisect_right(starts, starts[b] // window * window) - 1
-    rows = plain.select(_bucket_of(bounds, key).cast("int").alias("bucket"), "doc_id", body.alias("body"), key.alias("key"), F.sha2("text", 256).alias("tie"))
+    for r in found:
+        starts.append(starts[-1] + r["n"])
+    # boundary records: the documents at a range's head that an earlier window needs
+    owner = [(k, bisect.bisect_right(starts, starts[k] // window * window) - 1, -starts[k] % window) for k in range(1, len(found)) if starts[k] % window]
+    in_range = _range_of([(r["first"]["key"], bytes(r["first"]["tie"])) for r in found])
+    rows = plain.select("doc_id", body.alias("body"), key.alias("key"), tie).select(in_range("key", "tie").alias("range"), "doc_id", "body", "key", "tie")
     if owner:
-        heads = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("owner", T.IntegerType()), T.StructField("need", T.LongType())])
-        need = spark.createDataFrame([(b, o, -starts[b] % window) for b, o in sorted(owner.items())], heads)
-        order = Window.partitionBy("bucket").orderBy("key", "tie")
+        need = spark.createDataFrame(owner, "range int, owner int, need long")
+        order = Window.partitionBy("range").orderBy("key", "tie")
         before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
         lead = staged(
-            placed.join(F.broadcast(need), "bucket").withColumn("before", before).where("before < need")
-            .select(F.col("key").alias("k"), F.col("tie").alias("t"), F.col("owner").cast("int").alias("owner")).distinct()
+            placed.withColumn("before", before).join(F.broadcast(need), "range").where("before < need")
+            .select(F.col("key").alias("k"), F.col("tie").alias("t"), "owner").distinct()
         )
-        extra = rows.join(sized(lead), (F.col("key") == F.col("k")) & (F.col("tie") == F.col("t"))).select(F.col("owner").alias("bucket"), "doc_id", "body", "key", "tie")
+        extra = rows.drop("range").join(sized(lead), (F.col("key") == F.col("k")) & (F.col("tie") == F.col("t"))).select(F.col("owner").alias("range"), "doc_id", "body", "key", "tie")
         rows = rows.union(extra)
     return (
-        rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "key", "tie").select("bucket", "doc_id", "body")
+        rows.repartitionById(len(found), "range").sortWithinPartitions("range", "key", "tie").select("range", "doc_id", "body")
         .mapInArrow(_cut(starts, window, separator, not tokenizer), schema)
     )
 
