@@ -210,7 +210,26 @@ def semantic_dedup(spark, d):
     return dedup.semantic_filter(_read(spark, d, "embeddings"), SIMILAR, use_lsh=False, seq="vec_id").select("vec_id")
 
 
-@query("semantic_representatives")
+def _greedy(vectors: str, key: str, pairs: str) -> str:
+    """Recursive SQL: ``g`` has the kept keys of ``vectors`` after each row in order."""
+    return f"""WITH RECURSIVE {pairs}, low AS (SELECT j, list(i) AS lo FROM pairs GROUP BY j),
+adj AS (
+  SELECT row_number() OVER (ORDER BY {key}) - 1 AS n, {key} AS j, coalesce(lo, CAST([] AS BIGINT[])) AS lo FROM {vectors} LEFT JOIN low ON low.j = {key}
+),
+g(n, kept) AS (
+  SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT g.n + 1, CASE WHEN len(list_intersect(g.kept, adj.lo)) = 0 THEN list_append(g.kept, adj.j) ELSE g.kept END FROM g JOIN adj ON adj.n = g.n + 1
+),
+stays AS (SELECT unnest(kept) AS k FROM g WHERE n = (SELECT max(n) FROM g))"""
+
+
+@query(
+    "semantic_representatives",
+    _greedy("embeddings", "vec_id", f"""e AS (SELECT *, {_bits(4)} AS bucket FROM embeddings),
+pairs AS (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.bucket = b.bucket AND a.vec_id < b.vec_id WHERE {_COS} >= {SIMILAR})""")
+    + " SELECT j AS dup_seq, min(i) AS rep_seq FROM pairs WHERE i IN (SELECT k FROM stays) AND j NOT IN (SELECT k FROM stays) GROUP BY j",
+)
 def semantic_representatives(spark, d):
     return dedup.semantic_removals(_read(spark, d, "embeddings"), SIMILAR, True, 4, seq="vec_id")
 
@@ -306,10 +325,7 @@ _LABELLED = "SELECT d.doc_id, d.text, d.lang, d.n_chars, l.quality AS label FROM
     ),
 )
 def quality_documents(spark, d):
-    docs = _read(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
-    labels = _read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    schema = {"required_fields": ["doc_id", "text"], "fields": {"n_chars": {"constraints": {"min": 50}}}}
-    return _metrics(spark, docs.join(labels, "doc_id", "left"), schema)
+    return _metrics(spark, _labelled(spark, d), _LABELLED_SCHEMA)
 
 
 @query(
@@ -327,16 +343,61 @@ def quality_orders(spark, d):
     return _metrics(spark, _read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
 
 
-@query("quality_report")
+_LABELLED_SCHEMA = {"required_fields": ["doc_id", "text"], "fields": {"n_chars": {"constraints": {"min": 50}}}}
+#: The report's order of metrics, and their thresholds.
+_ORDER = [
+    ("completeness", "overall_completeness", "0.95"), *[("completeness", f"column_{c}_completeness", "0.95") for c in ("doc_id", "text", "lang", "n_chars", "label")],
+    ("consistency", "type_consistency", "0.9"), ("validity", "required_fields_check", "1.0"), ("validity", "schema_validation", "1.0"), ("uniqueness", "row_uniqueness", "0.98"),
+    ("timeliness", "freshness_proxy", "0.7"), ("accuracy", "numeric_outlier_rate", "0.9"), ("integrity", "referential_proxy", "1.0"), ("consistency", "label_balance", "0.1"),
+    ("summary", "text_length_mean", ""),
+]
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    return docs.join(_read(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+
+
+@query(
+    "quality_report",
+    f"""WITH m AS ({SQL['quality_documents']}),
+o AS (SELECT m.*, i, threshold FROM m JOIN (VALUES {', '.join(f"('{d}', '{n}', '{t}', {i})" for i, (d, n, t) in enumerate(_ORDER))}) v(d, n, threshold, i) ON d = dimension AND n = metric_name),
+d AS (SELECT dimension, avg(value) AS v, min(i) AS i FROM o WHERE dimension <> 'summary' GROUP BY dimension),
+failed AS (SELECT *, row_number() OVER (ORDER BY i) AS rn FROM o WHERE NOT passed),
+advice AS (
+  SELECT i AS place, 'Improve ' || dimension || ': score ' || printf('%.2f', v) || ' is below 0.80' AS message FROM d WHERE v < 0.8
+  UNION ALL SELECT 100 + i, 'Fix ' || dimension || '.' || metric_name || ': ' || printf('%.2f', value) || ' is below ' || threshold FROM failed WHERE rn <= 5
+)
+SELECT 'dimension' AS kind, dimension AS name, round(v, 6) AS value, CAST(NULL AS VARCHAR) AS message FROM d
+UNION ALL SELECT 'overall', 'overall', round(avg(v), 6), NULL FROM d
+UNION ALL SELECT 'recommendation', CAST(row_number() OVER (ORDER BY place) - 1 AS VARCHAR), NULL, message FROM advice
+UNION ALL SELECT 'error', CAST(rn - 1 AS VARCHAR), NULL, dimension || '.' || metric_name || ': ' || printf('%.2f', value) || ' < ' || threshold FROM failed
+UNION ALL SELECT 'valid', 'valid', CASE WHEN (SELECT count(*) FROM failed) = 0 AND (SELECT avg(v) FROM d) >= 0.8 THEN 1.0 ELSE 0.0 END, NULL""",
+)
 def quality_report(spark, d):
-    """The rolled-up report: scores by dimension, overall, recommendations."""
-    report = quality.check(_read(spark, d, "events"), "events", as_of=AS_OF)
-    rows = [("dimension", k, round(v, 6), None) for k, v in report.dimension_scores.items()] + [("overall", "overall", round(report.overall_score, 6), None)]
-    rows += [("recommendation", str(i), None, r) for i, r in enumerate(report.recommendations)]
-    rows += [("valid", "valid", float(report.to_validation().is_valid), None)]
+    """The rolled-up report: scores by dimension, overall, recommendations, and its verdict."""
+    report = quality.check(_labelled(spark, d), "documents", _LABELLED_SCHEMA, as_of=AS_OF)
+    verdict = report.to_validation()
+    rows = [("dimension", k, round(v, 6), None) for k, v in report.to_dict()["dimension_scores"].items()] + [("overall", "overall", round(verdict.quality_scores["overall"], 6), None)]
+    rows += [("recommendation", str(i), None, r) for i, r in enumerate(verdict.warnings)] + [("error", str(i), None, e) for i, e in enumerate(verdict.errors)]
+    rows += [("valid", "valid", float(verdict.is_valid), None)]
     return spark.createDataFrame(rows, "kind string, name string, value double, message string")
 
 
+@query(
+    "quality_stage",
+    f"""WITH m AS ({SQL['quality_orders']}), d AS (SELECT dimension, avg(value) AS v FROM m GROUP BY dimension)
+SELECT dimension, round(v, 6) AS value FROM d UNION ALL SELECT 'overall', round(avg(v), 6) FROM d""",
+)
+def quality_stage(spark, d):
+    """The stage that only notes the scores, on rows that pass through it."""
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    result = pl.QualityCheck({"as_of": AS_OF}).process(Dataset(orders))
+    if not result.success or result.data.df.count() != orders.count():
+        raise RuntimeError(result.error or "rows were lost")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in result.data.quality_metrics.items()], "dimension string, value double")
+
+
 # --- validation and routing ---------------------------------------------------
 
 
@@ -384,6 +445,121 @@ def label_validate(spark, d):
     return df.select("*", F.when(validate.label_range_error(df).isNotNull(), "out").alias("error"))
 
 
+_ODD = "CASE WHEN lang = 'de' THEN NULL WHEN lang = 'fr' THEN '  ' ELSE text END"
+
+
+def _odd(spark: SparkSession, d: str) -> DataFrame:
+    """Documents some of whose texts are missing or blank."""
+    text = F.when(F.col("lang") == "de", F.lit(None)).when(F.col("lang") == "fr", F.lit("  ")).otherwise(F.col("text"))
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("_seq"), text.alias("text"), "lang")
+
+
+def _all_messages(spark: SparkSession, validation) -> DataFrame:
+    """A validation's messages: index, severity, message."""
+    rows = [(int(m.split(":")[0].rsplit(" ", 1)[1]), kind, m.split(": ", 1)[1]) for kind, of in (("error", validation.errors), ("warning", validation.warnings)) for m in of]
+    return spark.createDataFrame(rows, "index long, severity string, message string")
+
+
+_TEXT_WARNINGS = f"""WITH t AS (SELECT doc_id, {_ODD} AS text FROM documents)
+SELECT doc_id AS index, 'warning' AS severity, CASE WHEN text IS NULL THEN '''text'' is not a string' ELSE '''text'' is empty' END AS message
+FROM t WHERE text IS NULL OR {_strip('text')} = ''"""
+
+
+@query("cleaning_diagnostics", _TEXT_WARNINGS)
+def cleaning_diagnostics(spark, d):
+    return _all_messages(spark, pl.Cleaning().validate(Dataset(_odd(spark, d))))
+
+
+@query("transform_diagnostics", _TEXT_WARNINGS)
+def transform_diagnostics(spark, d):
+    return _all_messages(spark, pl.Normalizing().validate(Dataset(_odd(spark, d))))
+
+
+@query(
+    "validation_diagnostics",
+    f"""WITH t AS (SELECT doc_id, {_ODD} AS text FROM documents)
+SELECT doc_id AS index, 'error' AS severity, CASE WHEN text IS NULL THEN '''text'' must be a string' ELSE '''text'' is empty' END AS message FROM t WHERE text IS NULL OR {_strip('text')} = ''
+UNION ALL SELECT doc_id, 'error', 'Required field ''label'' is missing' FROM t
+UNION ALL SELECT doc_id, 'warning', '''text'' has fewer than 3 characters' FROM t WHERE length({_strip('text')}) BETWEEN 1 AND 2""",
+)
+def validation_diagnostics(spark, d):
+    return _all_messages(spark, pl.Requirement().validate(Dataset(_odd(spark, d))))
+
+
+_LABELS = "CASE event_type WHEN 'view' THEN '  ' WHEN 'click' THEN NULL ELSE upper(event_type) END"
+
+
+@query(
+    "routing_diagnostics",
+    f"""WITH t AS (SELECT event_id, {_LABELS} AS label FROM events)
+SELECT event_id AS index, 'error' AS severity, CASE WHEN label IS NULL THEN 'Label is null' WHEN trim(label) = '' THEN 'Label is empty' ELSE 'Unknown label ''' || lower(label) || '''' END AS message
+FROM t WHERE label IS NULL OR lower(label) NOT IN ('purchase', 'signup')""",
+)
+def routing_diagnostics(spark, d):
+    label = F.when(F.col("event_type") == "view", "  ").when(F.col("event_type") == "click", None).otherwise(F.upper("event_type"))
+    df = _read(spark, d, "events").select(F.col("event_id").alias("_seq"), label.alias("label"))
+    return _all_messages(spark, pl.Routing({"label_mapping": {"Purchase ": 2, "signup": 3}}).validate(Dataset(df)))
+
+
+@query(
+    "routing_of_numbers",
+    """SELECT l_orderkey, l_linenumber, 'error' AS severity, 'Label id ' || CAST(l_quantity AS VARCHAR) || ' is outside [0, 30]' AS message FROM lineitem WHERE trunc(l_quantity) > 30
+UNION ALL SELECT l_orderkey, l_linenumber, 'warning', 'Label is a number already' FROM lineitem WHERE trunc(l_quantity) <= 30""",
+)
+def routing_of_numbers(spark, d):
+    df = _read(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("at"), F.col("l_quantity").alias("label"))
+    return validate.messages(df, *validate.routing_messages(df, {}), "at").select("index.*", "severity", "message")
+
+
+@query(
+    "label_range_diagnostics",
+    """SELECT l_orderkey, l_linenumber, 'error' AS severity, 'Label id ' || CAST(l_quantity AS VARCHAR) || ' is outside [5, 20]' AS message FROM lineitem WHERE trunc(l_quantity) NOT BETWEEN 5 AND 20""",
+)
+def label_range_diagnostics(spark, d):
+    df = _read(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("at"), F.col("l_quantity").alias("label_id"))
+    none = F.array().cast("array<string>")
+    return validate.messages(df, F.array_compact(F.array(validate.label_range_error(df, 5, 20))), none, "at").select("index.*", "severity", "message")
+
+
+@query(
+    "validate_all",
+    f"""WITH t AS (SELECT doc_id, {_ODD} AS text FROM documents), n AS (SELECT count(*) FILTER (text IS NULL OR {_strip('text')} = '') AS odd, count(*) AS rows FROM t)
+SELECT 'data_loading' AS stage, true AS is_valid, CAST(0 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS warnings
+UNION ALL SELECT 'data_cleaning', true, 0, odd FROM n
+UNION ALL SELECT 'data_validation', odd = 0, odd, 0 FROM n
+UNION ALL SELECT 'data_routing', false, rows, 1 FROM n
+UNION ALL SELECT 'label_validation', false, rows, 0 FROM n
+UNION ALL SELECT 'data_transformation', true, 0, odd FROM n
+UNION ALL SELECT 'text_cleaning', odd = 0, odd, 0 FROM n
+UNION ALL SELECT 'exact_dedup', true, 0, 0""",
+)
+def validate_all(spark, d):
+    """What each stage says of the same raw rows, which have no labels."""
+    stages = [pl.Loading(), pl.Cleaning(), pl.Requirement({"required_fields": ["text"]}), pl.Routing(), pl.LabelRange(), pl.Normalizing(), pl.TextCleaning(), pl.ExactDedup()]
+    chain = pl.Pipeline(stages)
+    found = zip(chain.stage_names(), chain.validate_all(Dataset(_odd(spark, d))))
+    return spark.createDataFrame([(n, v.is_valid, len(v.errors), len(v.warnings)) for n, v in found], "stage string, is_valid boolean, errors long, warnings long")
+
+
+@query(
+    "first_failures",
+    f"""WITH t AS (SELECT doc_id, {_ODD} AS text FROM documents), bad AS (SELECT text FROM t WHERE text IS NULL OR {_strip('text')} = '' ORDER BY doc_id LIMIT 1)
+SELECT 'empty' AS case, false AS success, CAST(NULL AS VARCHAR) AS error
+UNION ALL SELECT 'none', false, NULL
+UNION ALL SELECT 'no stage', true, NULL
+UNION ALL SELECT 'required', false, 'data_validation: ' || CASE WHEN text IS NULL THEN '''text'' must be a string' ELSE '''text'' is empty' END FROM bad
+UNION ALL SELECT 'label', false, 'data_routing: Required field ''label'' is missing'""",
+)
+def first_failures(spark, d):
+    """A failing stage's result has the first row's message, if there are rows at all."""
+    df, need = _odd(spark, d), pl.Requirement({"required_fields": ["text"]})
+    found = {
+        "empty": (need.process(Dataset(df.limit(0))).success, None), "none": (need.process(None).success, None), "no stage": (pl.Pipeline([]).run(Dataset(df)).success, None),
+        "required": ((r := pl.Pipeline([need, pl.Routing()]).run(Dataset(df))).success, r.error), "label": ((r := pl.Routing().process(Dataset(df))).success, r.error),
+    }
+    return spark.createDataFrame([(k, *v) for k, v in found.items()], "case string, success boolean, error string")
+
+
 # --- files, manifests, versions -----------------------------------------------
 
 
@@ -407,9 +583,20 @@ def jsonl_roundtrip(spark, d):
     return jsonl.read_jsonl(spark, path).select("conv_id", "turn", "role", "text")
 
 
-@query("schema_infer", "SELECT * FROM (VALUES ('doc_id', 'int'), ('lang', 'str'), ('n_chars', 'int'), ('source', 'str'), ('text', 'str')) t(field, types)")
+def _kinds(column: str, kind: str) -> str:
+    return f"SELECT '{column}' AS field, array_to_string(list_filter(['NoneType', '{kind}'], lambda k: CASE WHEN k = 'NoneType' THEN n > c ELSE c > 0 END), ',') AS types FROM (SELECT count(*) AS n, count({column}) AS c FROM t)"
+
+
+@query(
+    "schema_infer",
+    f"WITH t AS (SELECT doc_id, {_ODD} AS text, nullif(lang, 'en') AS lang, n_chars / 7.0 AS share, lang = 'es' AS es FROM documents ORDER BY doc_id LIMIT 100) "
+    + " UNION ALL ".join(_kinds(c, k) for c, k in (("doc_id", "int"), ("text", "str"), ("lang", "str"), ("share", "float"), ("es", "bool"))),
+)
 def schema_infer(spark, d):
-    found = manifest.infer_schema(spark, _written(spark, d, "documents", "doc_id"))
+    docs = _odd(spark, d).join(_read(spark, d, "documents").select(F.col("doc_id").alias("_seq"), (F.col("n_chars") / 7.0).alias("share")), "_seq")
+    path = shared_dir(spark)
+    jsonl.write_jsonl(docs.select(F.col("_seq").alias("doc_id"), "text", F.nullif("lang", F.lit("en")).alias("lang"), "share", (F.col("lang") == "es").alias("es")).orderBy("doc_id"), path)
+    found = manifest.infer_schema(spark, path)
     return spark.createDataFrame([(k, ",".join(v)) for k, v in found["fields"].items()], "field string, types string")
 
 
@@ -425,13 +612,23 @@ def column_stats(spark, d):
     return spark.createDataFrame([(k, v["min"], v["max"], round(v["mean"], 6)) for k, v in found.items()], "name string, min double, max double, mean double")
 
 
-@query("manifest", "SELECT 'benchmark' AS id, 'v1' AS version, count(*) AS row_count, CAST(64 AS BIGINT) AS hash_length, 'jsonl' AS format FROM benchmark")
+_LINES = "json_object('item_id', item_id, 'text', text)::VARCHAR || chr(10)"
+
+
+@query(
+    "manifest",
+    f"SELECT 'benchmark' AS id, 'v1' AS version, count(*) AS row_count, sha256(string_agg({_LINES}, '' ORDER BY item_id)) AS content_hash, 'jsonl' AS format, min(length(text)) AS shortest, 'CC0' AS license FROM benchmark",
+)
 def made_manifest(spark, d):
-    m = manifest.build_manifest(spark, _written(spark, d, "benchmark", "item_id"), "benchmark", "v1")
-    return spark.createDataFrame([(m["id"], m["version"], m["row_count"], len(m["content_hash"]), m["schema"]["format"])], "id string, version string, row_count long, hash_length long, format string")
+    m = manifest.build_manifest(spark, _written(spark, d, "benchmark", "item_id"), "benchmark", "v1", license_info="CC0")
+    row = (m["id"], m["version"], m["row_count"], m["content_hash"], m["schema"]["format"], int(m["metadata"]["column_stats"]["text_length"]["min"]), m["metadata"]["license"])
+    return spark.createDataFrame([row], "id string, version string, row_count long, content_hash string, format string, shortest long, license string")
 
 
-@query("content_fingerprint")
+@query(
+    "content_fingerprint",
+    """SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), doc_id, coalesce(lang, chr(30)), n_chars, coalesce(source, chr(30)), coalesce(text, chr(30)))), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM documents""",
+)
 def content_fingerprint(spark, d):
     return manifest.content_fingerprint(_read(spark, d, "documents"))
 
@@ -495,12 +692,37 @@ def version_registry(spark, d):
     return spark.createDataFrame([(second["version"], diff["change_type"], diff["sample_difference"], reg.validate("geo", "1.0.1"))], "version string, change_type string, sample_difference long, intact boolean")
 
 
-@query("version_files", "SELECT (SELECT count(*) FROM benchmark) AS sample_count, CAST(1 AS BIGINT) AS lineage, true AS intact")
+@query(
+    "version_list",
+    """WITH t AS (SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n, 2 AS i UNION ALL SELECT 'region', (SELECT count(*) FROM region), 1 UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), 3)
+SELECT 'listed' AS what, name || ' 1.0.0' AS version, n AS total_samples, CAST(row_number() OVER (ORDER BY i DESC) - 1 AS BIGINT) AS place FROM t
+UNION ALL SELECT 'got', 'nation 1.0.0', n, 0 FROM t WHERE name = 'nation' UNION ALL SELECT 'latest', 'region 1.0.0', n, 0 FROM t WHERE name = 'region'
+UNION ALL SELECT 'limited', 'supplier 1.0.0', n, 0 FROM t WHERE name = 'supplier'""",
+)
+def version_list(spark, d):
+    """What was registered: all of it, newest first; one by name; the newest of a name; a limit."""
+    reg = registry.VersionRegistry(spark, shared_dir(spark))
+    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey")):
+        reg.create(name, registry.DatasetType.CLAUSE_EVOLUTION, _written(spark, d, name, key))
+    found = {"listed": reg.list(), "got": [reg.get("nation", "1.0.0")], "latest": [reg.latest("region")], "limited": reg.list(limit=1)}
+    rows = [(k, f"{r['dataset_name']} {r['version']}", r["total_samples"], i) for k, v in found.items() for i, r in enumerate(v)]
+    return spark.createDataFrame(rows, "what string, version string, total_samples long, place long")
+
+
+@query(
+    "version_files",
+    f"""WITH n AS (SELECT count(*) AS n, sum(len(list_filter({_WORDS}, lambda w: w <> ''))) AS tokens FROM benchmark)
+SELECT CAST(v AS BIGINT) AS entry, n AS sample_count, CAST(tokens AS BIGINT) AS token_count, v = 1 AS first, true AS intact FROM n, (VALUES (1), (2)) t(v)""",
+)
 def version_files(spark, d):
+    """Two versions of a folder, their lineage, and whether the folder is as it was."""
     store = manifest.FileVersions(spark, shared_dir(spark))
     path = _written(spark, d, "benchmark", "item_id")
-    record = store.create(path, "bench")
-    return spark.createDataFrame([(record["sample_count"], len(store.lineage("bench")), store.verify(path, record["checksum"]))], "sample_count long, lineage long, intact boolean")
+    made = [store.create(path, "bench", encode=str.split)]
+    made.append(store.create(path, "bench", parents=[made[0]["version"]], encode=str.split))
+    kept = store.lineage("bench")
+    rows = [(i, k["sample_count"], m["token_count"], k["parent_versions"] == [], store.verify(path, k["checksum"])) for i, (k, m) in enumerate(zip(kept, made), 1)]
+    return spark.createDataFrame(rows, "entry long, sample_count long, token_count long, first boolean, intact boolean")
 
 
 # --- pipelines ----------------------------------------------------------------
@@ -523,14 +745,96 @@ def feedback_preset(spark, d):
     return _run(pl.feedback(), _docs(spark, d)).withColumnRenamed("_seq", "doc_id")
 
 
-@query(
-    "production_preset",
-    f"WITH {_CLEANED}, few AS ({_FIRST.format('clean')}) SELECT doc_id, text FROM few",
-)
+_EMBEDDED = _greedy("few", "doc_id", f"""{_CLEANED.strip()}, few AS (SELECT f.doc_id, f.text, e.embedding FROM ({_FIRST.format('clean')}) f JOIN embeddings e ON e.vec_id = f.doc_id),
+pairs AS (SELECT a.doc_id AS i, b.doc_id AS j FROM few a JOIN few b ON a.doc_id < b.doc_id WHERE {_COS} >= {SIMILAR})""")
+
+
+@query("production_preset", _EMBEDDED + " SELECT doc_id, text FROM few WHERE doc_id IN (SELECT k FROM stays)")
 def production_preset(spark, d):
-    """All its stages but the embeddings', with evaluation texts that don't leak."""
+    """All its stages, the embeddings' too, with evaluation texts that don't leak."""
     held = _read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("_seq"), F.concat(F.lit("held out evaluation text about the nation "), "n_name").alias("text"))
-    return _run(pl.production(eval_texts=held, semantic_dedup=False), _docs(spark, d)).withColumnRenamed("_seq", "doc_id")
+    vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("_seq"), "embedding")
+    chain = pl.production(eval_texts=held, similarity_threshold=SIMILAR, use_lsh=False)
+    return _run(chain, _docs(spark, d).join(vectors, "_seq")).select(F.col("_seq").alias("doc_id"), "text")
+
+
+@query(
+    "production_leak",
+    f"""WITH {_CLEANED}, few AS ({_FIRST.format('clean')}), {_grams('few', 'doc_id')},
+w2 AS (SELECT item_id AS k, {_WORDS} AS w FROM benchmark WHERE {_collapse('text')} <> ''),
+p2 AS (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM w2 WHERE len(w) >= 5),
+e AS (SELECT DISTINCT k, array_to_string(w[i : i + 4], ' ') AS g FROM p2),
+t AS (SELECT DISTINCT g FROM g),
+hits AS (SELECT e.k, count(t.g) / count(*) > 0.8 AS contaminated FROM e LEFT JOIN t ON e.g = t.g GROUP BY e.k)
+SELECT count(*) FILTER (contaminated) = 0 AS success, CASE WHEN count(*) FILTER (contaminated) > 0 THEN 'leakage_check' ELSE 'versioning' END AS stage_name FROM hits""",
+)
+def production_leak(spark, d):
+    """The preset with the benchmark as its evaluation texts: where it ends."""
+    held = _read(spark, d, "benchmark").select(F.col("item_id").alias("_seq"), "text")
+    result = pl.production(eval_texts=held, semantic_dedup=False).run(Dataset(_docs(spark, d)))
+    return spark.createDataFrame([(result.success, result.stage_name)], "success boolean, stage_name string")
+
+
+class Letters:
+    """A small encoder: how often each of some letters stands in a text."""
+
+    of = "etaoinshrd"
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in self.of] for t in texts]
+
+
+@query(
+    "semantic_stage",
+    _greedy("few", "item_id", f"""few AS (SELECT item_id, text, [{', '.join(f"CAST(length(text) - length(replace(lower(text), '{c}', '')) AS DOUBLE)" for c in Letters.of)}] AS embedding FROM benchmark),
+pairs AS (SELECT a.item_id AS i, b.item_id AS j FROM few a JOIN few b ON a.item_id < b.item_id WHERE {_COS} >= 0.98)""")
+    + " SELECT item_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY item_id) AS rn FROM few WHERE item_id IN (SELECT k FROM stays)) WHERE rn = 1",
+)
+def semantic_stage(spark, d):
+    """Semantic deduplication with an encoder that is given, then by text."""
+    df = _read(spark, d, "benchmark").select(F.col("item_id").alias("_seq"), "text")
+    result = pl.SemanticDedup({"embedder": Letters(), "similarity_threshold": 0.98, "use_lsh": False}).process(Dataset(df))
+    if not result.success:
+        raise RuntimeError(result.error)
+    return result.data.df.select(F.col("_seq").alias("item_id"), "text")
+
+
+_BY_CHUNK = "WITH n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS chunk FROM documents), " + _CLEANED
+
+
+@query(
+    "run_file_chunks",
+    _BY_CHUNK + " SELECT text FROM (SELECT text, row_number() OVER (PARTITION BY chunk, text ORDER BY c.doc_id) AS rn FROM clean c JOIN n ON n.doc_id = c.doc_id) WHERE rn = 1",
+)
+def run_file_chunks(spark, d):
+    """A file through the training preset, deduplicated within chunks of a hundred rows."""
+    result = pl.training().run_file(spark, _written(spark, d, "documents", "doc_id"), chunk_size=100)
+    if not result.success:
+        raise RuntimeError(result.error)
+    return result.data.df.select("text")
+
+
+@query("run_file", f"WITH {_CLEANED} SELECT DISTINCT text FROM clean")
+def run_file(spark, d):
+    """A file loaded and through the feedback preset of long texts, written and read again."""
+    out = shared_dir(spark)
+    chain = pl.Pipeline([pl.TextCleaning(), pl.ExactDedup()])
+    result = chain.run_file(spark, _written(spark, d, "documents", "doc_id"), output_path=out)
+    if not result.success:
+        raise RuntimeError(result.error)
+    return jsonl.read_jsonl(spark, out).select("text")
+
+
+@query(
+    "loading_stage",
+    "SELECT conv_id, turn, role, text, 'jsonl' AS format FROM conversations",
+)
+def loading_stage(spark, d):
+    """The stage that reads a source itself."""
+    result = pl.Loading({"source": _written(spark, d, "conversations", "conv_id")}).process(None)
+    if not result.success:
+        raise RuntimeError(result.error)
+    return result.data.df.select("conv_id", "turn", "role", "text", F.lit(result.metadata["format"]).alias("format"))
 
 
 @query(
