@@ -20,8 +20,9 @@ blank lines belong to the turn before them, and are dropped at its end. A null
 role or text trains nothing or is an empty line. A null conv_id is one
 conversation of its own. Turns with equal numbers are ordered by role, then
 text; repeated rows are repeated turns. With no labelled lines every role is as
-likely, and markers decide by ``PRIOR``. Other columns are not used. Texts of any
-length are read whole.
+likely, and markers decide by ``PRIOR``. Of equally probable states the first in the
+order of ``ROLES`` is taken. An empty table gives no rows. Other columns are not used,
+whatever their names. Texts of any length are read whole, with any characters in them.
 """
 
 from __future__ import annotations
@@ -202,11 +203,10 @@ def transcribe(conversations: DataFrame) -> DataFrame:
     grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     written = grouped.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda t: t["body"]), "\u0000").alias("joined"),
-        F.get("turns", F.lit(0))["gap"].alias("gap"),
+        F.array_join(F.transform("turns", lambda t, i: F.when(i > 0, F.concat(t["gap"], t["body"])).otherwise(t["body"])), "").alias("transcript"),
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["body"].alias("body"))).alias("starts"),
     )
-    return written.select("conv_id", F.replace("joined", F.lit("\u0000"), F.col("gap")).alias("transcript"), "starts")
+    return written
 
 
 def true_states(starts: list[dict]) -> list[int]:
@@ -225,9 +225,7 @@ def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             seen = observe((text or "").splitlines())
-            states = true_states(starts or [])
-            if len(states) == len(seen):
-                count(total, states, seen)
+            count(total, true_states(starts or []), seen)  # turns are parted by line breaks: lines are the same
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["slot", "n"])
 
