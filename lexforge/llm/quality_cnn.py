@@ -10,18 +10,21 @@ pass both, and its probability is their product. Whole documents are read, whate
 their length: chunks stream through a running maximum and sum.
 
 The networks are trained here on labelled rows, at most ``MAX_LABELLED`` of them
-(those with the smallest hash of their id; as many toxic and as many other ones): a documented bound for fitting
+for each network (of those known to it, the ones with the smallest hash of their id;
+for the second as many toxic and as many other ones): a documented bound for fitting
 only. The cut-off is set on a part of them that training didn't see, so that at
 most ``GOOD_LOST`` of the good ones fall below it.
 
 Defined cases: a null text counts as empty; an empty text has the probability of
-a document of padding only, and is rejected if ``texts`` says nothing else; if
+a document of padding only, and is accepted or not by it; if
 there are fewer than ``LEAST_PER_CLASS`` labelled rows of either class, nothing
 can be learned and every document is accepted with a null probability; so too for
 toxic ones alone, if either kind is too rare or there is no column ``toxic``. A
 toxic row, or one of which that isn't known, is no example of good quality. A null
-label or doc_id trains nothing. Repeated rows are scored alike. Other columns
-pass through ``keep_good`` unchanged.
+label or doc_id trains nothing. Rows with equal hashes of their id are picked by id,
+then label. A probability equal to the cut-off is accepted. Repeated rows are scored
+alike. An empty table gives no rows. Other columns pass through ``keep_good`` unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -240,7 +243,7 @@ def toxic_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) ->
 
 
 def _picked(docs: DataFrame, known: DataFrame, limit: int) -> list[tuple[str, int]]:
-    return _mixed(_fetched(docs, known, limit))[: 2 * limit]
+    return _mixed(_fetched(docs, known, limit))[:limit]
 
 
 def _fetched(docs: DataFrame, known: DataFrame, limit: int) -> list[tuple[int, str, int]]:

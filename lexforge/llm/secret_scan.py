@@ -14,7 +14,8 @@ original text it came from: for escapes character by character, for base64 and
 compressed data the encoded stretch.
 
 Defined cases: null and empty texts have no findings and stay as they are.
-Findings at one span are given once for each kind. Rows with a null doc_id are
+Findings at one span are given once for each kind; of several ways to it the least
+deep is named. An empty table has no findings. Rows with a null doc_id are
 scanned; their findings have a null doc_id. Repeated rows give repeated
 findings. Other columns pass through ``redact`` unchanged, but for ``n_chars``,
 which follows the redacted text where it was the text's length before. Whole
