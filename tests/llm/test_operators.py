@@ -419,6 +419,52 @@ def test_wrapped_and_glued_base64_is_read():
     assert len(secret_scan.scan(two)) == 2
 
 
+def naive_secrets(text, depth=6):
+    """Kinds of secrets by decoding every run and every escape, again and again."""
+    import re
+
+    found = [k for *_, k in secret_scan.secrets_in(text)]
+    if not depth:
+        return set(found)
+    for run in re.findall(r"[A-Za-z0-9+/=]{16,}", text):
+        try:
+            data = base64.b64decode(run + "=" * (-len(run) % 4))
+        except ValueError:
+            continue
+        for unpack in (lambda x: x, gzip.decompress, zlib.decompress, bz2.decompress):
+            try:
+                found += naive_secrets(unpack(data).decode(), depth - 1)
+            except (OSError, ValueError, zlib.error, EOFError):
+                pass
+    for read in (urllib.parse.unquote, lambda t: re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), t), lambda t: re.sub(r"\\x([0-9a-f]{2})", lambda m: chr(int(m[1], 16)), t), lambda t: re.sub(r"&#([0-9]+);", lambda m: chr(int(m[1])), t)):
+        if (again := read(text)) != text:
+            found += naive_secrets(again, depth - 1)
+    return set(found)
+
+
+def test_nothing_is_left_for_an_exhaustive_rescan():
+    rng = random.Random(16)
+    for _ in range(60):
+        parts, planted = [], set()
+        for _ in range(rng.randrange(1, 5)):
+            secret = rng.choice([AWS, TOKEN])
+            planted.add("aws_access_key" if secret == AWS else "github_token")
+            inner = secret
+            for wrap in rng.choices(sorted(set(WRAPS) - {"twice", "url in base64 in url"}), k=rng.randrange(0, 3)):
+                inner = WRAPS[wrap](inner)
+            parts += [prose(rng, 4), inner] + [inner] * (rng.random() < 0.3)
+        text = " ".join([*parts, prose(rng, 3)])
+        assert {f[2] for f in secret_scan.scan(text)} >= naive_secrets(text) == planted
+        assert naive_secrets(secret_scan.redacted(text)) == set()
+
+
+@pytest.mark.parametrize("wrap", sorted(WRAPS))
+def test_three_places_of_one_wrap_are_redacted(wrap):
+    inner = WRAPS[wrap](AWS)
+    clean = secret_scan.redacted(f"one {inner} two {inner} three {inner} four")
+    assert clean.count("[AWS_ACCESS_KEY]") == 3 and naive_secrets(clean) == set()
+
+
 def test_redaction_of_rows(spark):
     df = docs_of(spark, [f"a {AWS} b", "clean", None, ""]).withColumn("kind", F.lit(1))
     rows = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
@@ -775,6 +821,62 @@ def test_viterbi_is_the_best_of_all_paths():
     assert abs(score(model.viterbi(seen)) - best) < 1e-9
 
 
+def test_turns_are_those_of_the_best_path():
+    from itertools import product
+
+    rng = random.Random(13)
+    numbers = np.random.default_rng(4)
+    for _ in range(15):
+        model = transcripts.Model(numbers.integers(0, 20, transcripts.width()).astype(float))
+        lines = [rng.choice(["User: ", "A: ", "Sam> ", "", ""]) + prose(rng, 3) for _ in range(4)]
+        lines.insert(rng.randrange(5), "")
+        seen = transcripts.observe(lines)
+
+        def score(path):
+            s = model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:]))
+            return s + sum(model.seen[k][p, o[k]] for p, o in zip(path, seen) for k in range(len(transcripts.FEATURES)))
+
+        path = iter(max(product(range(transcripts.STATES), repeat=4), key=score))
+        want = []
+        for line in lines:
+            if not line:
+                if want:
+                    want[-1][1].append("")
+                continue
+            state = next(path)
+            if state % 2 == 0 or not want:
+                m = transcripts.marker_of(line)
+                want.append((transcripts.ROLES[state // 2], [m[2] if m else line]))
+            else:
+                want[-1][1].append(line)
+        assert transcripts.turns("\n".join(lines), model) == [(r, "\n".join(b).strip()) for r, b in want]
+
+
+def test_any_character_may_stand_in_a_turn(spark):
+    rows = [(1, 0, "user", "a\u0000b\u2028c"), (1, 1, "assistant", "x\n\ny\r\nz"), (1, 2, None, None), (None, None, "user", "w")]
+    written = transcripts.transcribe(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kept = {r["conv_id"]: r for r in written.collect()}
+    assert "a\u0000b\u2028c" in kept[1]["transcript"]
+    for r in kept.values():
+        assert len(transcripts.true_states([x.asDict() for x in r["starts"]])) == len(transcripts.observe(r["transcript"].splitlines()))
+    assert transcripts.parse(written, transcripts.fit(written)).count() == 2
+
+
+QUERIES = ["op1_lz_fingerprint", "op2_decontaminate", "op3_quality_cnn", "op4_warc_writer", "op5_html_extract", "op6_url_filter", "op7_packing", "op8_jaccard_join", "op9_transcripts", "op10_secret_scan"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+@pytest.mark.parametrize("name", QUERIES)
+def test_queries_read_whole_tables(spark, name):
+    from lexforge.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    out = queries.QUERIES[name](spark, sf)
+    rows = out.count()
+    whole = {"op4": "pages", "op5": "pages", "op6": "pages", "op1": "documents", "op3": "documents", "op8": "documents"}.get(name.split("_")[0])
+    assert (rows > 0 or name == "op10_secret_scan") and (whole is None or rows == spark.read.parquet(f"{sf}/{whole}.parquet").count())
+
+
 def test_roles_are_recovered(spark):
     rng = random.Random(10)
     rows = []
