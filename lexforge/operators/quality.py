@@ -1,12 +1,14 @@
 """Quality metrics over any table, along seven dimensions.
 
-``metrics_frame`` needs three passes over the data whatever its width: one wide
-aggregate, one for outliers (with the first one's fences), one for labels.
+``metrics_frame`` needs a few passes over the data whatever its width: one wide
+aggregate, one for distinct rows (by digests of sixteen bytes), one for quartiles and
+one for outliers (with the fences that they give), one for labels.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from datetime import datetime, timezone
 from typing import Any
 
@@ -25,9 +27,59 @@ def _missing(df: DataFrame, name: str):
     return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c.isNull()
 
 
-def _whole(df: DataFrame):
-    """A row as a value that can be counted distinctly, whatever its types."""
-    return F.struct(*[F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema])
+#: Values of a column whose exact quartiles one aggregate gives; of more, those that
+#: surely aren't a quartile are counted away first.
+HELD = 1_000_000
+
+
+def distinct_rows(df: DataFrame) -> int:
+    """Distinct rows, of any types; digests move, not rows."""
+    digest = F.unhex(F.md5(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]), {"ignoreNullFields": "false"})))
+    return df.select(digest.alias("digest")).distinct().count()
+
+
+def quartiles(df: DataFrame, columns: dict[str, Any], counts: dict[str, int], held: int | None = None) -> dict[str, tuple[float, float]]:
+    """The exact first and third quartile, interpolated, of each column (a value, or null).
+
+    An aggregate that sorts all values of a column isn't distributed. While more than
+    ``held`` values may be a quartile, approximate ones close in on it from both sides,
+    and the values below are counted; the rest is small enough to be exact about.
+    """
+    held = HELD if held is None else held
+    # (column, quartile) -> lower end, upper end, values below, values within
+    open_ = {(c, q): (None, None, 0, counts[c]) for c in columns for q in (0.25, 0.75)}
+    rank = {(c, q): q * (counts[c] - 1) for c, q in open_}
+
+    def within(key: tuple[str, float]):
+        v, (low, high, *_) = columns[key[0]], open_[key]
+        return v if low is None else F.when(v.between(low, high), v)
+
+    narrow = set()  # many equal values: these get no narrower
+    while wide := [k for k, (low, high, _, n) in open_.items() if n > held and k not in narrow and (low is None or low < high)]:
+        ends = {}
+        for i, k in enumerate(wide):
+            *_, below, n = open_[k]
+            at = (rank[k] - below) / n
+            ends[k] = F.percentile_approx(within(k), F.array(F.lit(max(0.0, at - 2e-4)), F.lit(min(1.0, at + 2e-4))), F.lit(10_000)).alias(f"e{i}")
+        found = df.agg(*ends.values()).first()
+        sizes = []
+        for i, k in enumerate(wide):
+            low, high = found[i]
+            sizes += [F.count_if(columns[k[0]] < low).alias(f"b{i}"), F.count_if(columns[k[0]].between(low, high)).alias(f"n{i}")]
+        counted = df.agg(*sizes).first()
+        for i, k in enumerate(wide):
+            (low, high), below, n = found[i], counted[2 * i], counted[2 * i + 1]
+            if not (below <= math.floor(rank[k]) and math.ceil(rank[k]) < below + n):
+                raise ValueError("an approximate quartile is further off than its bound")
+            if n == open_[k][3]:
+                narrow.add(k)
+            open_[k] = (low, high, below, n)
+    exact = []
+    for k, (low, _, below, n) in open_.items():
+        exact.append(F.percentile(within(k), F.lit((rank[k] - below) / (n - 1) if n > 1 else 0.0)).alias(f"{len(exact)}"))
+    row = df.agg(*exact).first()
+    value = dict(zip(open_, row))
+    return {c: (value[c, 0.25], value[c, 0.75]) for c in columns}
 
 
 def _moment(df: DataFrame, name: str):
@@ -49,12 +101,9 @@ def metrics(df: DataFrame, schema: dict[str, Any] | None = None, config: Quality
     kinds = {f.name: f.dataType for f in df.schema}
     dated = next((c for c in names if "time" in c.lower() or "date" in c.lower()), None)
     numeric = [c for c in names if isinstance(kinds[c], _NUMERIC)]
-    wanted = [F.count("*").alias("rows"), F.count_distinct(_whole(df)).alias("distinct")] if names else [F.count("*").alias("rows")]
+    wanted = [F.count("*").alias("rows")]
     for i, c in enumerate(names):
         wanted.append(F.count_if(_missing(df, c)).alias(f"null_{i}"))
-    for i, c in enumerate(numeric):
-        there = F.when(~_missing(df, c), F.col(f"`{c}`").cast("double"))
-        wanted += [F.percentile(there, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{i}")]
     bounded = {n: s["constraints"] for n, s in schema.get("fields", {}).items() if n in names and "constraints" in s}
     for n in bounded:
         there = F.when(~_missing(df, n), F.col(f"`{n}`"))
@@ -104,7 +153,7 @@ def metrics(df: DataFrame, schema: dict[str, Any] | None = None, config: Quality
                 errors.append(f"{n} goes above {c['max']}")
         add("validity", "schema_validation", max(0.0, 1.0 - len(errors) * cfg.validity_error_penalty) if errors else 1.0, cfg.validity_threshold, {"errors": errors} if errors else {"status": "valid"})
 
-    copies = rows - one["distinct"]
+    copies = rows - distinct_rows(df)
     add("uniqueness", "row_uniqueness", 1.0 - copies / rows, cfg.uniqueness_threshold, {"duplicate_rows": copies, "unique_rows": rows - copies, "duplicate_percentage": copies / rows * 100})
 
     if dated is None:
@@ -122,11 +171,10 @@ def metrics(df: DataFrame, schema: dict[str, Any] | None = None, config: Quality
             add("accuracy", "numeric_outliers", 1.0, cfg.accuracy_threshold, {"message": "no column of numbers"})
         else:
             checks, sizes = [], {}
-            for i, c in enumerate(numeric):
-                there = rows - nulls[c]
-                if there < 4:
-                    continue
-                low, high = one[f"q_{i}"]
+            full = {c: rows - nulls[c] for c in numeric if rows - nulls[c] >= 4}
+            fences = quartiles(df, {c: F.when(~_missing(df, c), F.col(f"`{c}`").cast("double")) for c in full}, full) if full else {}
+            for i, (c, there) in enumerate(full.items()):
+                low, high = fences[c]
                 reach = cfg.iqr_multiplier * (high - low)
                 v = F.col(f"`{c}`").cast("double")
                 checks.append(F.count_if(~_missing(df, c) & ((v < low - reach) | (v > high + reach))).alias(f"o_{i}"))

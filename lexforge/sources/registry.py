@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from enum import Enum
 from typing import Any
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,12 +75,22 @@ def compared(versions: DataFrame, name: str = "dataset_name", order: tuple[str,
     return out
 
 
+#: Where stored copies may go: ``root`` names the place, on any filesystem for "hadoop".
+BACKENDS = ("local", "filesystem", "hadoop", "s3")
+
+
 class VersionRegistry:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, str(root).rstrip("/")
+    """Versions below ``root``, a path or URI; their table is a Parquet folder there, or
+    ``catalog_table`` of the session's catalog (Hive, JDBC and others)."""
+
+    def __init__(self, spark: SparkSession, root: str, catalog_table: str | None = None):
+        self.spark, self.root, self.catalog_table = spark, str(root).rstrip("/"), catalog_table
         self.table = f"{self.root}/versions"
 
     def frame(self) -> DataFrame:
+        if self.catalog_table:
+            there = self.spark.catalog.tableExists(self.catalog_table)
+            return self.spark.table(self.catalog_table) if there else self.spark.createDataFrame([], SCHEMA)
         if not files_of(self.table):
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(self.table)
@@ -88,8 +100,10 @@ class VersionRegistry:
         change_summary: str | None = None, tags: list[str] | None = None, metadata: dict | None = None, created_by: str | None = None,
         storage_backend: str = "local", quality_score: float | None = None, now: datetime | None = None,
     ) -> dict[str, Any]:
-        if storage_backend not in ("local", "filesystem"):
+        if storage_backend not in BACKENDS:
             raise ValueError(f"unknown storage backend {storage_backend!r}")
+        if storage_backend == "s3" and not self.root.startswith("s3"):
+            raise ValueError("the backend s3 needs a root on s3")
         if not exists(data_path):
             raise FileNotFoundError(str(data_path))
         kind = DatasetType(kind)
@@ -109,7 +123,11 @@ class VersionRegistry:
             "dataset_metadata": json.dumps(metadata or {}), "created_at": now or datetime.now(timezone.utc), "created_by": created_by,
         }
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        self.spark.createDataFrame([tuple(row[n] for n in names)], SCHEMA).write.mode("append").parquet(self.table)
+        made = self.spark.createDataFrame([tuple(row[n] for n in names)], SCHEMA).write.mode("append")
+        if self.catalog_table:
+            made.saveAsTable(self.catalog_table)
+        else:
+            made.parquet(self.table)
         return row
 
     @staticmethod
@@ -123,28 +141,38 @@ class VersionRegistry:
     def statistics(self, path: str) -> dict[str, int]:
         """Lines of .jsonl files (blank ones too), entries of .json files, files, bytes."""
         files = files_of(path)
-        samples = 0
-        system, _ = _at(path)
-        for f in files:
-            if f.path.endswith(".json"):
-                with system.open_input_stream(f.path) as s:
-                    value = json.loads(s.read())
-                samples += len(value) if isinstance(value, list) else 1
-        lines = [f.path if "://" not in str(path) else f"{str(path).split('://')[0]}://{f.path}" for f in files if f.path.endswith(".jsonl")]
-        if lines:
-            samples += self.spark.read.text(lines).count()
+        scheme = f"{str(path).split('://')[0]}://" if "://" in str(path) else ""
+        lines, whole = ([scheme + f.path for f in files if f.path.endswith(end)] for end in (".jsonl", ".json"))
+        samples = self.spark.read.text(lines).count() if lines else 0
+        if whole:
+            value = F.parse_json("value")
+            is_list = F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+            entries = F.when(is_list, F.size(F.try_variant_get(value, "$", "array<variant>"))).otherwise(1)
+            samples += self.spark.read.text(whole, wholetext=True).agg(F.sum(entries)).first()[0] or 0
         return {"total_samples": samples, "file_count": len(files), "total_size_bytes": sum(f.size for f in files)}
 
     def _copy(self, source: str, target: str) -> None:
+        """Each file is copied by a task, not through the driver."""
         system, root = _at(source)
         to, base = _at(target)
-        info = system.get_file_info(root)
-        if info.type == fs.FileType.File:
-            to.create_dir(base, recursive=True)
-            fs.copy_files(root, f"{base}/{info.base_name}", source_filesystem=system, destination_filesystem=to)
-        else:
-            to.create_dir(base, recursive=True)
-            fs.copy_files(root, base, source_filesystem=system, destination_filesystem=to)
+        to.create_dir(base, recursive=True)
+        one = system.get_file_info(root).type == fs.FileType.File
+        pairs = [(f.path, f"{base}/{f.base_name if one else f.path[len(root.rstrip('/')) + 1 :]}") for f in files_of(source)]
+        if not pairs:
+            return
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, there = _at(source)[0], _at(target)[0]
+            for b in batches:
+                for old, new in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    there.create_dir(new.rsplit("/", 1)[0], recursive=True)
+                    fs.copy_files(old, new, source_filesystem=here, destination_filesystem=there)
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+        tasks = min(len(pairs), 4 * self.spark.sparkContext.defaultParallelism)
+        copied = self.spark.createDataFrame(pairs, "old string, new string").repartition(tasks).mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+        if copied != len(pairs):
+            raise OSError(f"{copied} of {len(pairs)} files were copied")
 
     @staticmethod
     def _folder_checksum(path: str) -> str:

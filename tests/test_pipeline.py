@@ -154,8 +154,24 @@ def test_registry(spark, tmp_path):
         assert reg.latest("ds")["version"] != last
     assert reg.compare("ds", "1.0.0", "1.0.3")["sample_difference"] == 10
     assert reg.get("ds", "9.9.9") is None and reg.latest("none") is None and reg.validate("ds", "1.0.0")
-    with pytest.raises(ValueError):
-        reg.create("ds", kind, str(data), storage_backend="tape")
+    for backend in ("tape", "s3"):
+        with pytest.raises(ValueError):
+            reg.create("ds", kind, str(data), storage_backend=backend)
+
+
+def test_registry_of_folders_and_uris(spark, tmp_path):
+    data = tmp_path / "data"
+    (data / "deep").mkdir(parents=True)
+    (data / "deep" / "x.jsonl").write_text("{}\n\n{}\n")
+    (data / "list.json").write_text('[1, {"a": 2}, 3]')
+    (data / "one.json").write_text('{"a": [1, 2]}')
+    reg = registry.VersionRegistry(spark, f"file://{tmp_path}/reg")
+    row = reg.create("ds", registry.DatasetType.LEASE_ABSTRACTION, str(data), storage_backend="hadoop", tags=["t"], metadata={"a": 1})
+    assert (row["total_samples"], row["file_count"]) == (3 + 3 + 1, 3) and reg.validate("ds", "1.0.0")
+    assert (tmp_path / "reg/datasets/ds/1.0.0/deep/x.jsonl").read_text() == "{}\n\n{}\n"
+    assert [r["tags"] for r in reg.list("ds")] == [["t"]] and len(row["metadata_checksum"]) == 64
+    (tmp_path / "reg/datasets/ds/1.0.0/list.json").write_text("[]")
+    assert not reg.validate("ds", "1.0.0")
 
 
 def test_quality(spark):
@@ -178,6 +194,23 @@ def test_quality(spark):
     assert not quality.check([{"text": "a"}], schema=schema).to_validation().is_valid
 
 
+def test_quartiles_are_exact_at_any_size(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    columns = {"even": rng.random(30_000), "ties": rng.integers(0, 9, 30_000).astype(float), "long": rng.pareto(1.0, 30_000), "one": np.ones(30_000)}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in columns.values()))), ", ".join(f"{c} double" for c in columns))
+    for held in (10**6, 1000, 40):
+        got = quality.quartiles(df, {c: df[c] for c in columns}, dict.fromkeys(columns, 30_000), held)
+        for c, v in columns.items():
+            assert np.allclose(got[c], np.quantile(v, [0.25, 0.75]), rtol=1e-12)
+
+
+def test_distinct_rows_of_any_types(spark):
+    df = spark.createDataFrame([(None, "a", {"x": 1}), ("a", None, {"x": 1}), ("a", None, {"x": 1})], "p string, q string, m map<string,int>")
+    assert quality.distinct_rows(df) == 2
+
+
 def test_dataset_forms(spark, tmp_path):
     df = spark.createDataFrame([(0, "a")], "_seq long, text string")
     for form in (Dataset(df), df, [{"text": "a"}], {"data": [{"text": "a"}]}, {"text": "a"}):
