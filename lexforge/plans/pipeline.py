@@ -7,6 +7,7 @@ reason rather than raising, and keeps the metadata so far.
 
 from __future__ import annotations
 
+import functools
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
@@ -153,9 +154,12 @@ class Routing(Stage):
     dependencies = ["data_validation"]
     needs_rows = True
 
-    @property
+    @functools.cached_property
     def mapping(self) -> dict[str, int]:
-        return {str(k).strip().lower(): v for k, v in self.config.get("label_mapping", {}).items()}
+        """From a dict, or a table of label and label_id: one of names for 31 ids is small."""
+        given = self.config.get("label_mapping", {})
+        pairs = given.select("label", "label_id").collect() if isinstance(given, DataFrame) else given.items()
+        return {str(k).strip().lower(): v for k, v in pairs}
 
     def transform(self, data: Dataset) -> Dataset:
         if (first := validate.first_error(data.df, validate.routing_error(data.df, self.mapping), data.seq)) is not None:

@@ -875,3 +875,34 @@ def stream_dedup(spark, d):
     stream = jsonl_stream.distinct_texts(jsonl_stream.cleaned(jsonl_stream.read_stream(spark, path)))
     jsonl_stream.run_to_end(stream, f"{out}/checkpoint", lambda df, _: df.select("text").write.mode("append").parquet(f"{out}/rows"))
     return spark.read.schema("text string").parquet(f"{out}/rows")
+
+
+@query(
+    "stream_windows",
+    "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, CAST(sum(length(event_type)) AS BIGINT) AS chars FROM events GROUP BY 1",
+)
+def stream_windows(spark, d):
+    """Events arriving as JSONL files, counted by the hour they happened in, with a watermark."""
+    path, out = _written(spark, d, "events", "event_id"), shared_dir(spark)
+    stream = jsonl_stream.read_stream(spark, path, "ts string, event_type string").withColumn("at", F.to_timestamp("ts"))
+    counts = jsonl_stream.windowed_counts(stream, "1 hour", "365 days", "event_type", "at")
+    kept = lambda df, i: df.select(F.col("window.start").alias("hour"), "n", "chars", F.lit(i).alias("batch")).write.mode("append").parquet(f"{out}/rows")
+    jsonl_stream.run_to_end(counts, f"{out}/checkpoint", kept, "update")
+    rows = spark.read.schema("hour timestamp, n long, chars long, batch int").parquet(f"{out}/rows")
+    # of a window that several batches changed, its last state counts
+    return rows.groupBy("hour").agg(F.max_by("n", "batch").alias("n"), F.max_by("chars", "batch").alias("chars"))
+
+
+@query(
+    "label_table",
+    f"""SELECT event_id, CAST(CASE lower({_strip('event_type')}) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _TYPES.items())} ELSE 9 END AS BIGINT) AS label_id FROM events""",
+)
+def label_table(spark, d):
+    """Labels routed by a mapping that is a table."""
+    kind = F.when(F.col("event_type").isin(*_TYPES), F.upper("event_type")).otherwise(" other ")
+    df = _read(spark, d, "events").select(F.col("event_id").alias("_seq"), "event_id", kind.alias("label"))
+    mapping = spark.createDataFrame([*_TYPES.items(), ("other", 9)], "label string, label_id long")
+    result = pl.Routing({"label_mapping": mapping}).process(Dataset(df))
+    if not result.success:
+        raise RuntimeError(result.error)
+    return result.data.df.select("event_id", "label_id")

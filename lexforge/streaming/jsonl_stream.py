@@ -33,13 +33,14 @@ def distinct_texts(stream: DataFrame, text: str = "text", within: str | None = N
     return keyed.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["text_md5"])
 
 
-def windowed_counts(stream: DataFrame, window: str = "10 minutes", late: str = "1 hour", text: str = "text") -> DataFrame:
-    """Rows and characters by window of arrival."""
-    return stream.withWatermark("arrived", late).groupBy(F.window("arrived", window)).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"))
+def windowed_counts(stream: DataFrame, window: str = "10 minutes", late: str = "1 hour", text: str = "text", time: str = "arrived") -> DataFrame:
+    """Rows and characters by window of arrival, or of another ``time``; what comes more
+    than ``late`` after the latest is left out, so that the state stays bounded."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, window)).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"))
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Gives every micro-batch to ``each`` until no file is left, then stops."""
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
     return query
