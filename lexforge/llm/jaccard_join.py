@@ -275,3 +275,25 @@ def _fp_of(n: int):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN text IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS grams
+  FROM w JOIN documents USING (doc_id)
+),
+m AS (SELECT doc_id, CASE WHEN len(grams) > 0 THEN md5(array_to_string(grams, '|')) END AS node, grams FROM s),
+c AS (SELECT node, min(doc_id) AS class_id, count(*) AS n_copies, any_value(grams) AS grams FROM m WHERE node IS NOT NULL GROUP BY node),
+f AS (SELECT class_id, hash(unnest(grams)) AS g FROM c),
+e AS (SELECT class_id, f.g FROM f JOIN (SELECT g FROM f GROUP BY g HAVING count(*) > 1) t ON t.g = f.g),
+p AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS same FROM e x JOIN e y ON x.g = y.g AND x.class_id < y.class_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c x ON x.class_id = a JOIN c y ON y.class_id = b WHERE same / (len(x.grams) + len(y.grams) - same) >= 0.5),
+d AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT class_id, class_id FROM c UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b),
+g AS (SELECT a, min(b) AS group_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM d GROUP BY a)
+SELECT m.doc_id, c.class_id, CAST(coalesce(c.n_copies, 0) AS BIGINT) AS n_copies, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, g.group_id
+FROM m LEFT JOIN c ON c.node = m.node LEFT JOIN g ON g.a = c.class_id LEFT JOIN n ON n.a = c.class_id
+"""

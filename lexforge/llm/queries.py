@@ -30,4 +30,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op7_packing": packing.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
 }

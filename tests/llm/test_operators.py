@@ -877,6 +877,16 @@ def test_queries_read_whole_tables(spark, name):
     assert (rows > 0 or name == "op10_secret_scan") and (whole is None or rows == spark.read.parquet(f"{sf}/{whole}.parquet").count())
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["op7_packing", "op8_jaccard_join"])
+def test_rows_are_those_of_sql(spark, name):
+    from lexforge.llm import queries
+    from tests.compare import both
+
+    ours, theirs = both(spark, queries.QUERIES[name], queries.SQL[name], "/root/testdata/sf0.001")
+    assert ours == theirs
+
+
 def test_roles_are_recovered(spark):
     rng = random.Random(10)
     rows = []
