@@ -317,7 +317,9 @@ class QualityGate(Stage):
 
 
 class _Writing(Stage):
-    """Rows that were written already, by the stage before, aren't written again."""
+    """Rows that were written already, by the stage before, aren't written again. Without
+    ``output_path`` they go to a folder that is deleted when the session ends; so does
+    the record of a version without ``metadata_dir``."""
 
     def _written(self, data: Dataset, **metadata) -> tuple[str, Dataset]:
         path = self.config.get("output_path")

@@ -358,9 +358,13 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(_read(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
 
 
+def _unrounded(name: str) -> str:
+    return SQL[name].replace("round(CAST(", "(CAST(").replace(" AS DOUBLE), 6) AS value", " AS DOUBLE)) AS value")
+
+
 @query(
     "quality_report",
-    f"""WITH m AS ({SQL['quality_documents']}),
+    f"""WITH m AS ({_unrounded('quality_documents')}),
 o AS (SELECT m.*, i, threshold FROM m JOIN (VALUES {', '.join(f"('{d}', '{n}', '{t}', {i})" for i, (d, n, t) in enumerate(_ORDER))}) v(d, n, threshold, i) ON d = dimension AND n = metric_name),
 d AS (SELECT dimension, avg(value) AS v, min(i) AS i FROM o WHERE dimension <> 'summary' GROUP BY dimension),
 failed AS (SELECT *, row_number() OVER (ORDER BY i) AS rn FROM o WHERE NOT passed),
@@ -386,7 +390,7 @@ def quality_report(spark, d):
 
 @query(
     "quality_stage",
-    f"""WITH m AS ({SQL['quality_orders']}), d AS (SELECT dimension, avg(value) AS v FROM m GROUP BY dimension)
+    f"""WITH m AS ({_unrounded('quality_orders')}), d AS (SELECT dimension, avg(value) AS v FROM m GROUP BY dimension)
 SELECT dimension, round(v, 6) AS value FROM d UNION ALL SELECT 'overall', round(avg(v), 6) FROM d""",
 )
 def quality_stage(spark, d):
