@@ -29,6 +29,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +51,8 @@ RATE = 0.01
 GOOD_LOST = 0.01
 #: Documents that are laid out together while scoring.
 _BLOCK = 1 << 18
+#: Places of the filters that are laid out at once: half a million numbers stay in the cache.
+_ROWS = 2048
 #: Bytes of one document held at once; a longer one is read in several parts.
 _PART = 1 << 18
 
@@ -76,12 +79,17 @@ def _padded(n: int, step: int) -> int:
 
 
 def _responses(net: Net, data: np.ndarray) -> np.ndarray:
-    """Filter outputs (without bias) at each step; the last ones see zero bytes."""
-    x = net.embed[data].reshape(-1, net.step * EMBED)
-    w = net.filters.reshape(KERNEL // net.step, net.step * EMBED, FILTERS)
-    y = x @ w[0]
-    for k in range(1, len(w)):
-        y[:-k] += x[k:] @ w[k]
+    """Filter outputs (without bias) at each step; the last ones see zero bytes.
+
+    What a filter sees at each place is laid out in rows, some thousands at a time, so
+    that all filters and bytes are one matrix product.
+    """
+    wide = KERNEL * EMBED
+    x = np.concatenate([net.embed[data].ravel(), np.zeros(wide - net.step * EMBED, np.float32)])
+    seen = np.lib.stride_tricks.sliding_window_view(x, wide)[:: net.step * EMBED]
+    y = np.empty((len(seen), FILTERS), np.float32)
+    for a in range(0, len(seen), _ROWS):
+        np.matmul(np.ascontiguousarray(seen[a : a + _ROWS]), net.filters, out=y[a : a + _ROWS])
     return y
 
 
@@ -91,9 +99,9 @@ def _chunk_max(y: np.ndarray, step: int) -> np.ndarray:
     return np.maximum(half[:-1], half[1:]) if len(half) > 1 else half
 
 
-def _layout(texts: list[bytes], step: int) -> tuple[np.ndarray, np.ndarray]:
+def _layout(texts: list[bytes], step: int, gap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The texts, each padded with zero bytes and a kernel's width apart, and their places."""
-    gap = KERNEL // step
+    gap = gap or KERNEL // step
     places = np.array([_padded(len(t), step) for t in texts])
     first = np.concatenate(([0], np.cumsum(places + gap)))
     data = np.zeros(first[-1] * step, np.uint8)
@@ -158,47 +166,43 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPO
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     share = good.mean()
     weight = np.where(good == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    every = np.arange(FILTERS)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), 16):
             batch = order[a : a + 16]
-            data, places = _layout([texts[i] for i in batch], step)
-            y = _responses(net, data)
-            grads = [np.zeros_like(p) for p in params]
-            wide = np.concatenate([data, np.zeros(KERNEL, np.uint8)])
-            for i, (p, q) in zip(batch.tolist(), places.tolist()):
-                own = y[p:q].reshape(-1, hop, FILTERS)
-                arg = own.argmax(axis=1) + np.arange(len(own))[:, None] * hop
-                half = np.take_along_axis(y[p:q], arg, axis=0)
-                if len(half) > 1:
-                    left = half[:-1] >= half[1:]
-                    top, arg = np.where(left, half[:-1], half[1:]), np.where(left, arg[:-1], arg[1:])
-                else:
-                    top = half
-                c = np.maximum(top + net.bias, 0)
-                best = c.argmax(axis=0)
-                f = np.concatenate([c.max(axis=0), c.mean(axis=0)])
-                z = float(f @ net.weight + base[0])
-                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[i]) * weight[i] / len(batch)
-                grads[3] += d * f
-                grads[4] += d
-                dc = np.repeat(d * net.weight[None, FILTERS:] / len(c), len(c), axis=0)
-                dc[best, np.arange(FILTERS)] += d * net.weight[:FILTERS]
-                dc[c <= 0] = 0
-                grads[2] += dc.sum(axis=0)
-                chunk, filt = np.nonzero(dc)
-                if not len(chunk):
-                    continue
+            # a hop of zeros after each text: all texts' hops are rows of one array
+            data, places = _layout([texts[i] for i in batch], step, hop)
+            own = _responses(net, data).reshape(-1, hop, FILTERS)
+            place = own.argmax(axis=1)
+            half = np.take_along_axis(own, place[:, None], axis=1)[:, 0]
+            place += np.arange(len(own))[:, None] * hop
+            text = np.repeat(np.arange(len(batch)), np.diff(places // hop, axis=1)[:, 0] - 1)
+            left = np.concatenate([np.arange(x, y - 1) for x, y in (places // hop).tolist()])
+            first = half[left] >= half[left + 1]
+            c = np.maximum(np.where(first, half[left], half[left + 1]) + net.bias, 0)
+            arg = np.where(first, place[left], place[left + 1])
+            begin = np.searchsorted(text, np.arange(len(batch)))
+            many = np.bincount(text)[:, None]
+            best = np.maximum.reduceat(c, begin)
+            f = np.concatenate([best, np.add.reduceat(c, begin) / many], axis=1)
+            z = np.clip(f @ net.weight + base[0], -30, 30)
+            d = ((1 / (1 + np.exp(-z)) - good[batch]) * weight[batch] / len(batch)).astype(np.float32)[:, None]
+            dc = (d * net.weight[FILTERS:] / many)[text].astype(np.float32)
+            top = np.minimum.reduceat(np.where(c == best[text], np.arange(len(c))[:, None], len(c)), begin)
+            dc[top, every] += d * net.weight[:FILTERS]
+            dc[c <= 0] = 0
+            grads = [np.zeros_like(net.embed), np.zeros_like(net.filters), dc.sum(axis=0), (f * d).sum(axis=0), d.sum(keepdims=True)[0]]
+            chunk, filt = np.nonzero(dc)
+            if len(chunk):
                 g = dc[chunk, filt]
-                at = (p + arg[chunk, filt]) * step
-                seen = wide[at[:, None] + np.arange(KERNEL)]
-                flat = net.embed[seen].reshape(len(g), -1) * g[:, None]
+                seen = np.concatenate([data, np.zeros(KERNEL, np.uint8)])[(arg[chunk, filt] * step)[:, None] + np.arange(KERNEL)]
                 hot = np.zeros((len(g), FILTERS), np.float32)
-                hot[np.arange(len(g)), filt] = 1
-                grads[1] += flat.T @ hot
+                hot[np.arange(len(g)), filt] = g
+                grads[1] = net.embed[seen].reshape(len(g), -1).T @ hot
                 back = (net.filters[:, filt].T * g[:, None]).reshape(-1, EMBED)
-                slots = seen.reshape(-1, 1).astype(np.int64) * EMBED + np.arange(EMBED)
-                grads[0] += np.bincount(slots.ravel(), back.ravel(), minlength=256 * EMBED).reshape(256, EMBED).astype(np.float32)
+                flat = seen.ravel()
+                grads[0] = np.stack([np.bincount(flat, back[:, e], minlength=256) for e in range(EMBED)], axis=1).astype(np.float32)
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -261,8 +265,22 @@ def _mixed(rows: list[tuple[int, str, int]]) -> list[tuple[str, int]]:
 
 
 def fit_all(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[Net]:
-    """The networks that a document must pass: of quality, and of not being toxic."""
-    nets = [fit(labelled_rows(docs, labels, limit)), fit(toxic_rows(docs, labels, limit), step=FINE)]
+    """The networks that a document must pass: of quality, and of not being toxic.
+
+    Each is one task's work, beside the other; a lost one is fitted again, to the same.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast([(labelled_rows(docs, labels, limit), STEP), (toxic_rows(docs, labels, limit), FINE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                known, step = shared.value[i]
+                net = fit(known, step=step)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(net)])], names=["id", "net"])
+
+    rows = spark.range(0, 2, 1, 2).mapInArrow(run, "id long, net binary").collect()
+    nets = [pickle.loads(r["net"]) for r in sorted(rows, key=lambda r: r["id"])]
     return [net for net in nets if net is not None]
 
 
