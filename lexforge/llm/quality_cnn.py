@@ -53,6 +53,8 @@ GOOD_LOST = 0.01
 _BLOCK = 1 << 18
 #: Places of the filters that are laid out at once: half a million numbers stay in the cache.
 _ROWS = 2048
+#: Maxima whose gradients are worked out at once.
+_BACK = 8192
 #: Bytes of one document held at once; a longer one is read in several parts.
 _PART = 1 << 18
 
@@ -93,6 +95,25 @@ def _responses(net: Net, data: np.ndarray) -> np.ndarray:
     return y
 
 
+def _hop_max(net: Net, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest output of each filter in each hop, and its place; the outputs of
+    some thousand places are held at once, however long the data."""
+    hop = HOP // net.step
+    rows = max(hop, _ROWS // hop * hop)
+    n = len(data) // net.step
+    padded = np.concatenate([data, np.zeros(KERNEL, np.uint8)])
+    half, place = np.empty((n // hop, FILTERS), np.float32), np.empty((n // hop, FILTERS), np.int64)
+    for a in range(0, n, rows):
+        b = min(n, a + rows)
+        x = net.embed[padded[a * net.step : (b - 1) * net.step + KERNEL]].ravel()
+        seen = np.lib.stride_tricks.sliding_window_view(x, KERNEL * EMBED)[:: net.step * EMBED]
+        own = (np.ascontiguousarray(seen) @ net.filters).reshape(-1, hop, FILTERS)
+        at = own.argmax(axis=1)
+        half[a // hop : b // hop] = np.take_along_axis(own, at[:, None], axis=1)[:, 0]
+        place[a // hop : b // hop] = at + np.arange(a, b, hop)[:, None]
+    return half, place
+
+
 def _chunk_max(y: np.ndarray, step: int) -> np.ndarray:
     """Maxima over the overlapping chunks of one document's places."""
     half = y.reshape(-1, HOP // step, FILTERS).max(axis=1)
@@ -173,10 +194,7 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPO
             batch = order[a : a + 16]
             # a hop of zeros after each text: all texts' hops are rows of one array
             data, places = _layout([texts[i] for i in batch], step, hop)
-            own = _responses(net, data).reshape(-1, hop, FILTERS)
-            place = own.argmax(axis=1)
-            half = np.take_along_axis(own, place[:, None], axis=1)[:, 0]
-            place += np.arange(len(own))[:, None] * hop
+            half, place = _hop_max(net, data)
             text = np.repeat(np.arange(len(batch)), np.diff(places // hop, axis=1)[:, 0] - 1)
             left = np.concatenate([np.arange(x, y - 1) for x, y in (places // hop).tolist()])
             first = half[left] >= half[left + 1]
@@ -194,15 +212,17 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPO
             dc[c <= 0] = 0
             grads = [np.zeros_like(net.embed), np.zeros_like(net.filters), dc.sum(axis=0), (f * d).sum(axis=0), d.sum(keepdims=True)[0]]
             chunk, filt = np.nonzero(dc)
-            if len(chunk):
-                g = dc[chunk, filt]
-                seen = np.concatenate([data, np.zeros(KERNEL, np.uint8)])[(arg[chunk, filt] * step)[:, None] + np.arange(KERNEL)]
+            padded = np.concatenate([data, np.zeros(KERNEL, np.uint8)])
+            for i in range(0, len(chunk), _BACK):  # a long text has many maxima
+                at, of = chunk[i : i + _BACK], filt[i : i + _BACK]
+                g = dc[at, of]
+                seen = padded[(arg[at, of] * step)[:, None] + np.arange(KERNEL)]
                 hot = np.zeros((len(g), FILTERS), np.float32)
-                hot[np.arange(len(g)), filt] = g
-                grads[1] = net.embed[seen].reshape(len(g), -1).T @ hot
-                back = (net.filters[:, filt].T * g[:, None]).reshape(-1, EMBED)
+                hot[np.arange(len(g)), of] = g
+                grads[1] += net.embed[seen].reshape(len(g), -1).T @ hot
+                back = (net.filters[:, of].T * g[:, None]).reshape(-1, EMBED)
                 flat = seen.ravel()
-                grads[0] = np.stack([np.bincount(flat, back[:, e], minlength=256) for e in range(EMBED)], axis=1).astype(np.float32)
+                grads[0] += np.stack([np.bincount(flat, back[:, e], minlength=256) for e in range(EMBED)], axis=1).astype(np.float32)
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
